@@ -8,6 +8,7 @@ import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space that separates words everywhere in this package (as the inside of a regex class).
 ASCII_SPACE = r"\x20\x09-\x0D"
@@ -19,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join by names in which nulls are equal; the keys stay once."""
+    named = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which the driver and all executors see.
 
@@ -49,7 +57,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder's URI or path, and the path in it."""
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(uri))
 
 
 def publish(system: fs.FileSystem, part: str, final: str) -> None:
