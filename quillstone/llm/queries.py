@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import archives, chat, decontaminate, exact_dedup, licenses, mixing, render, simhash, tokens
+from quillstone.llm import archives, chat, decontaminate, exact_dedup, licenses, mixing, render, simhash, tokens, toxicity
 from quillstone.llm.shared import table, work_dir
 from quillstone.llm.sql import ORACLES
 
@@ -31,6 +31,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.render_pages(table(spark, sf_dir, "pages"))
 
@@ -62,7 +67,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_license_scan, op2_simhash_near_dedup, op3_benchmark_decontamination, op5_html_rendering, op6_exact_dedup, op7_source_mixing, op8_token_files, op9_arc_to_warc, op10_chat_format)
+    every = (op1_license_scan, op2_simhash_near_dedup, op3_benchmark_decontamination, op4_toxicity, op5_html_rendering, op6_exact_dedup, op7_source_mixing, op8_token_files, op9_arc_to_warc, op10_chat_format)
     return {f.__name__: f for f in every}
 
 
