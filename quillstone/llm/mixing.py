@@ -148,9 +148,15 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
         F.filter(F.arrays_zip("again_from", "again_to"), lambda r: ~((r.again_from == 0) & (r.again_to == F.col("size")))).alias("_parts"),
         F.row_number().over(Window.partitionBy("doc_id", "size", "source").orderBy("taken", "full", F.to_json("again_from"))).alias("_nth"),
     )
+    plan = cut(plan)
+    keys = ["_id", "_size", "source"]
     sized = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_id", F.col("doc_id").cast("long")).where("_size > 0")
-    sized = sized.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_size", "source").orderBy(F.xxhash64("text"))))
-    both = join_null_safe(sized, plan, ["_id", "_size", "source", "_nth"]).select(*docs.columns, "_whole", "_parts")
+    if not plan.where("_nth > 1").isEmpty():  # repeated rows meet their plans one to one
+        keys.append("_nth")
+        sized = sized.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_size", "source").orderBy(F.xxhash64("text"))))
+    else:
+        plan = plan.drop("_nth")
+    both = join_null_safe(sized, plan, keys).select(*docs.columns, "_whole", "_parts")
     copies = F.concat(F.when(F.col("_whole") > 0, F.transform(F.sequence(F.lit(1), F.col("_whole")), lambda _: F.struct(F.lit(-1).alias("again_from"), F.lit(-1).alias("again_to")))).otherwise(F.array()), F.col("_parts"))
     each = both.select(*docs.columns, F.explode(copies).alias("_part"))
     words = F.split(F.regexp_replace("text", rf"^[{ASCII_SPACE}]+", ""), rf"[{ASCII_SPACE}]+")
