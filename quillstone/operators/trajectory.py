@@ -1,0 +1,157 @@
+"""Placement of rows on edges between classes, states, composed positions, and the projection to a smaller tree."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillstone.functions.vectors import clip, cosine
+
+SPAN_SHARE = 0.99
+
+
+def edge_positions(rows: DataFrame, edges: DataFrame, protos: DataFrame) -> DataFrame:
+    """(id, source, target, absolute, relative) of rows (id, z, source, target).
+
+    gap = cos to target - cos to source; absolute: gap over the most it can be, to 0 to 1; relative:
+    gap over its .99 quantile on that edge. No edge of `edges`: no target, positions 0.
+    """
+    of = lambda c: protos.select(F.col("label").alias(c), F.col("v").alias(c + "_v"))
+    known = edges.select("source", "target").withColumn("edge", F.lit(True))
+    placed = rows.join(known, ["source", "target"], "left").join(of("source"), "source", "left").join(of("target"), "target", "left")
+    placed = placed.withColumn("gap", cosine(F.col("z"), F.col("target_v")) - cosine(F.col("z"), F.col("source_v")))
+    most = F.sqrt(2 * (1 - cosine(F.col("source_v"), F.col("target_v"))))
+    placed = placed.withColumn("absolute", F.when(F.col("edge") & (most > 0), clip((F.col("gap") / most + 1) / 2, 0.0, 1.0)).otherwise(0.0))
+    spans = placed.where("edge").groupBy("source", "target").agg(F.percentile(F.abs("gap"), F.lit(SPAN_SHARE)).alias("span"))
+    placed = placed.join(spans, ["source", "target"], "left")
+    relative = F.when(F.col("edge") & (F.col("span") > 0), clip((F.col("gap") / F.col("span") + 1) / 2, 0.0, 1.0)).otherwise(F.when(F.col("edge"), 0.5).otherwise(0.0))
+    return placed.select("id", "source", F.when(F.col("edge"), F.col("target")).alias("target"), "absolute", relative.alias("relative"))
+
+
+def oriented(pairs: DataFrame, depths: DataFrame) -> DataFrame:
+    """(source, target) for pairs (a, b): the shallower first, the smaller name on ties; one row per pair."""
+    of = lambda c: depths.select(F.col("node").alias(c), F.col("shortest").alias(c + "_d"))
+    rows = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    first = F.coalesce(F.when(F.col("a_d") != F.col("b_d"), F.col("a_d") < F.col("b_d")), F.col("a") < F.col("b"))
+    return rows.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("source"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("target")).distinct()
+
+
+def states(positions: DataFrame, source_zone: float = 0.1, target_zone: float = 0.1) -> DataFrame:
+    """Adds state, transition and conflict to positions (id, source, target, relative, predicted).
+
+    Between the zones a row is Transitioning and its position is scaled to the band, else Stable and 0.
+    conflict: off-trajectory if the predicted class is neither end, wrong_end if it is the far one.
+    """
+    if source_zone + target_zone >= 1:
+        source_zone = target_zone = 0.1
+    r = F.col("relative")
+    moving = F.col("target").isNotNull() & (r > source_zone) & (r < 1 - target_zone)
+    far = F.when(r <= source_zone, F.col("target")).when(r >= 1 - target_zone, F.col("source"))
+    conflict = (
+        F.when(F.col("predicted").isNull() | F.col("target").isNull(), "")
+        .when((F.col("predicted") != F.col("source")) & (F.col("predicted") != F.col("target")), "off-trajectory")
+        .when(F.col("predicted") == far, "wrong_end")
+        .otherwise("")
+    )
+    return (
+        positions.withColumn("state", F.when(moving, "Transitioning").otherwise("Stable"))
+        .withColumn("transition", F.when(moving, (r - source_zone) / (1 - source_zone - target_zone)).otherwise(0.0))
+        .withColumn("conflict", conflict)
+    )
+
+
+def composed(positions: DataFrame, places: DataFrame) -> DataFrame:
+    """Adds place to positions (source, target, absolute): from the source's to the target's of places (term, place)."""
+    of = lambda c: places.select(F.col("term").alias(c), F.col("place").alias(c + "_p"))
+    rows = positions.join(of("source"), "source", "left").join(of("target"), "target", "left")
+    place = F.coalesce(F.col("source_p") + F.col("absolute") * (F.col("target_p") - F.col("source_p")), F.col("source_p"))
+    return rows.withColumn("place", place).drop("source_p", "target_p")
+
+
+def detection_scores(positions: DataFrame, detected: DataFrame) -> DataFrame:
+    """(term, score): minus the mean count of detected genes (id, genes) over both ends of each row's edge."""
+    rows = positions.join(detected, "id")
+    ends = rows.select(F.col("source").alias("term"), "genes").union(rows.where("target is not null").select("target", "genes"))
+    return ends.groupBy("term").agg((-F.avg("genes")).alias("score"))
+
+
+def walk(terms: list[tuple[str, float]], constraints: list[tuple[str, str]]) -> list[str]:
+    """Order of the terms of a vocabulary: the smallest (score, name) of those whose earlier terms are all placed; a cycle raises ValueError."""
+    import heapq
+
+    score = dict(terms)
+    later: dict[str, set[str]] = {t: set() for t in score}
+    waits = dict.fromkeys(score, 0)
+    for a, b in set(constraints):
+        if a in score and b in score and b not in later[a]:
+            later[a].add(b)
+            waits[b] += 1
+    ready = [(s, t) for t, s in terms if not waits[t]]
+    heapq.heapify(ready)
+    out: list[str] = []
+    while ready:
+        _, t = heapq.heappop(ready)
+        out.append(t)
+        for b in later[t]:
+            waits[b] -= 1
+            if not waits[b]:
+                heapq.heappush(ready, (score[b], b))
+    if len(out) < len(score):
+        raise ValueError(f"the order constraints hold a cycle among {sorted(t for t, n in waits.items() if n)}")
+    return out
+
+
+def lineages(closure: DataFrame, fates: DataFrame, occupied: DataFrame) -> DataFrame:
+    """(term, lineage, has_fate) for occupied terms: the nearest fate at or above the term, smaller name on ties; else its own name."""
+    near = closure.join(fates.select(F.col("node").alias("ancestor")), "ancestor", "left_semi")
+    best = near.groupBy("node").agg(F.min(F.struct("shortest", "ancestor")).alias("b"))
+    rows = occupied.select("node").join(best, "node", "left")
+    return rows.select(F.col("node").alias("term"), F.coalesce("b.ancestor", "node").alias("lineage"), F.col("b").isNotNull().alias("has_fate"))
+
+
+def projected(positions: DataFrame, kept: DataFrame, depths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, small_source, small_target, small_relative): positions on a smaller tree.
+
+    kept (node, target) maps each class to its group; depth along the full edge, less the group
+    edge's start, over its length, clipped; where the groups share no edge, the row is at home in one.
+    """
+    of = lambda c: kept.select(F.col("node").alias(c), F.col("target").alias("small_" + c))
+    deep = lambda c: depths.select(F.col("node").alias(c), F.col("shortest").alias(c + "_d"))
+    rows = positions.join(of("source"), "source", "left").join(of("target"), "target", "left")
+    for c in ("source", "target", "small_source", "small_target"):
+        rows = rows.join(deep(c), c, "left")
+    small = edges.select(F.col("source").alias("small_source"), F.col("target").alias("small_target")).withColumn("edge", F.lit(True))
+    rows = rows.join(small, ["small_source", "small_target"], "left")
+    at = F.col("source_d") + F.col("relative") * (F.col("target_d") - F.col("source_d"))
+    length = F.col("small_target_d") - F.col("small_source_d")
+    return rows.select("id", "small_source", F.when(F.col("edge"), F.col("small_target")).alias("small_target"), F.when(F.col("edge") & (length != 0), clip((at - F.col("small_source_d")) / length, 0.0, 1.0)).otherwise(0.0).alias("small_relative"))
+
+
+def density_grid(rows: DataFrame, x: str, y: str, bins: int = 256) -> DataFrame:
+    """(bx, by, n): a two-dimensional histogram over the rows' range; what a density figure draws."""
+    ends = rows.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+    place = lambda c, a, b: F.when(F.col(b) > F.col(a), F.least(F.floor((F.col(c) - F.col(a)) / (F.col(b) - F.col(a)) * bins), F.lit(bins - 1))).otherwise(0)
+    return rows.join(F.broadcast(ends)).groupBy(place(x, "x0", "x1").alias("bx"), place(y, "y0", "y1").alias("by")).agg(F.count("*").alias("n"))
+
+
+def inferred_paths(candidates: DataFrame, protos: DataFrame, is_a: DataFrame, hops: DataFrame, siblings: DataFrame, least_cosine: float, least_score: float = 0.28) -> DataFrame:
+    """(a, b, score): model edges that no is-a relation or terminal sibling accounts for; score .45 cosine + .20 exp(-hops / 2)."""
+    of = lambda c: protos.select(F.col("label").alias(c), F.col("v").alias(c + "_v"))
+    ordered = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    known = is_a.select(F.least("child", "parent").alias("a"), F.greatest("child", "parent").alias("b"))
+    rows = ordered.join(known, ["a", "b"], "left_anti").join(siblings, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").join(hops, ["a", "b"], "left")
+    sim = cosine(F.col("a_v"), F.col("b_v"))
+    score = 0.45 * sim + 0.20 * F.coalesce(F.exp(-F.col("hops") / 2), F.lit(0.0))
+    return rows.where(sim >= least_cosine).select("a", "b", score.alias("score")).where(F.col("score") >= least_score)
+
+
+def slices(rows: DataFrame, n: int = 60, by: str = "lineage", order: str = "rank", out: str = "slice") -> DataFrame:
+    """Adds the number of the equal-count slice: floor(place * n / rows), places from 0 by order and id."""
+    w = Window.partitionBy(by).orderBy(order, "id")
+    return rows.withColumn(out, F.floor((F.row_number().over(w) - 1) * n / F.count("*").over(Window.partitionBy(by))))
+
+
+def slice_modes(rows: DataFrame, n: int = 60) -> DataFrame:
+    """(lineage, slice, type, n): the most frequent type of each slice, the smaller on ties; rows: (id, lineage, rank, type)."""
+    counts = slices(rows, n).groupBy("lineage", "slice", "type").agg(F.count("*").alias("n"))
+    return counts.withColumn("r", F.row_number().over(Window.partitionBy("lineage", "slice").orderBy(F.desc("n"), "type"))).where("r = 1").drop("r")
