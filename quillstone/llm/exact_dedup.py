@@ -35,7 +35,12 @@ from pyspark.sql import functions as F
 from quillstone.llm.shared import cut, work_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; batches upload their changes alone; a store's files take the room they fill, not what RocksDB sets aside.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 LOG = "doc_id long, path string, row long, sha binary, bytes long"
 
 
@@ -57,13 +62,15 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def _settings(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def ingest(spark: SparkSession, path: str, home: str, digest_bytes: int = 32) -> None:
@@ -77,7 +84,7 @@ def ingest(spark: SparkSession, path: str, home: str, digest_bytes: int = 32) ->
     log.start(f"{home}/log").awaitTermination()
     rows = spark.readStream.schema(LOG).parquet(f"{home}/log")
     held = rows.groupBy(F.substring("sha", 1, digest_bytes).alias("digest"), "bytes").agg(F.max(F.struct("doc_id", "path", "row")).alias("keep"), F.count("*").alias("n"))
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
+    with _settings(spark, STATE):
         state = held.writeStream.outputMode("update").option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
         state.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{home}/groups/batch={n}")).start().awaitTermination()
 
