@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, words: int = SHIN
     members = star.join(distinct, star.node == distinct.fp).select("fp", "root", "first_doc")
     roots = members.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     linked = members.join(roots, "root").select("fp", "component_id")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
+    # cut, so that the last join is of two plain exchanges, of which Spark can split a hot fingerprint's
+    named = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id")))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
