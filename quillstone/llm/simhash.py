@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import cut
+from quillstone.llm.shared import cut, fresh
 
 BITS, QUARTER, SEED = 64, 16, 42
 SHINGLE_WORDS = 3
@@ -68,14 +68,14 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) for every row of docs (doc_id, text)."""
+    """(doc_id, fp, text_hash) for every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_py() or b"", words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_py() or b"", words) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(1)], ["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -224,24 +224,30 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, words: int = SHINGLE_WORDS, node_rows: int = NODE_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs (doc_id, text); component_id: the smallest doc_id reachable."""
+    """(doc_id, fp, component_id, root, text_hash) for every row of docs (doc_id, text).
+
+    component_id: the smallest doc_id reachable; root: the component's smallest fingerprint, which
+    tells components without an id apart; text_hash: tells rows of one id apart.
+    """
     prints = cut(fingerprints(docs, words))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
     star = stars(forests(distinct.select("fp"), max_bits, node_rows))
     members = star.join(distinct, star.node == distinct.fp).select("fp", "root", "first_doc")
     roots = members.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    linked = members.join(roots, "root").select("fp", "component_id")
+    linked = members.join(roots, "root").select("fp", "component_id", "root")
     # cut, so that the last join is of two plain exchanges, of which Spark can split a hot fingerprint's
-    named = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id")))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"), F.coalesce("root", "fp").alias("root")))
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root", "text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group: the first by doc_id; of repeated rows with that id, one."""
-    groups = near_duplicates(docs, **options)
-    first = cut(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows")))
-    is_first = F.col("doc_id").cast("long").eqNullSafe(F.col("first_doc"))
-    kept = lambda rows: docs.join(first.where(rows).select(F.col("doc_id").alias("first_doc")), is_first, "left_semi")
+    """docs with one row of each group: that of the smallest doc_id; of several rows with it, that of the smallest text hash."""
+    groups = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    counted = groups.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    first = cut(counted.groupBy("root").agg(F.min("text_hash").alias("text_hash"), F.min_by(F.struct("doc_id", "rows"), "text_hash").alias("of")).select("of.*", "text_hash"))
+    key, tie = fresh(docs, "first_doc"), fresh(docs, "first_hash")
+    is_first = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(tie))
+    kept = lambda rows: docs.join(first.where(rows).select(F.col("doc_id").alias(key), F.col("text_hash").alias(tie)), is_first, "left_semi")
     if first.where("rows > 1").isEmpty():
         return kept(F.lit(True))
-    return kept(F.col("rows") == 1).unionByName(kept(F.col("rows") > 1).dropDuplicates(["doc_id"]))
+    return kept(F.col("rows") == 1).unionByName(kept(F.col("rows") > 1).dropDuplicates(["doc_id", "text"]))
