@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import cut, opened, publish, work_dir
+from quillstone.llm.shared import cut, one_per_task, opened, publish, work_dir
 
 #: Fixed values of the format: fields of a record's header line, by version.
 ARC_FIELDS = {
@@ -202,11 +202,6 @@ def read_warc(f: IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 # --- conversion -----------------------------------------------------------------------------------
 
 
-def _each(paths: DataFrame) -> DataFrame:
-    """One path per task, as far as may be."""
-    return paths.repartition(max(1, paths.count()))
-
-
 INDEX = "path string, nth int, key long, uri string, date string, digest string, bytes long, id string"
 
 
@@ -227,7 +222,7 @@ def index_arcs(paths: DataFrame) -> DataFrame:
             for path in b.column(0).to_pylist():
                 yield from _batches(rows(path), types, INDEX)
 
-    return _each(paths).mapInArrow(run, INDEX)
+    return one_per_task(paths).mapInArrow(run, INDEX)
 
 
 def _batches(rows: Iterator[tuple], types: list[pa.DataType], schema: str) -> Iterator[pa.RecordBatch]:
@@ -325,7 +320,7 @@ def read_captures(warcs: DataFrame) -> DataFrame:
             for path in b.column(0).to_pylist():
                 yield from _batches(rows(path), types, CAPTURES)
 
-    return _each(warcs).mapInArrow(run, CAPTURES)
+    return one_per_task(warcs).mapInArrow(run, CAPTURES)
 
 
 def archive(pages: DataFrame, uri: str | None = None, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import cut, join_null_safe
+from quillstone.llm.shared import cut, fresh, join_null_safe
 
 WINDOW = 8
 PLAIN_WORDS = 4
@@ -106,6 +106,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the documents that any benchmark item contaminates."""
-    bad = cut(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct())
+    key = fresh(docs, "bad_id")
+    bad = cut(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(key)).distinct())
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")

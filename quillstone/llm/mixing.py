@@ -150,16 +150,18 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     )
     plan = cut(plan)
     keys = ["_id", "_size", "source"]
-    sized = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_id", F.col("doc_id").cast("long")).where("_size > 0")
+    # the row goes along as one value, so that its columns can have any name
+    sized = docs.select(F.struct(*docs.columns).alias("_row"), "source", F.col("doc_id").cast("long").alias("_id"), word_count(F.col("text")).alias("_size")).where("_size > 0")
     if not plan.where("_nth > 1").isEmpty():  # repeated rows meet their plans one to one
         keys.append("_nth")
-        sized = sized.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_size", "source").orderBy(F.xxhash64("text"))))
+        sized = sized.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_size", "source").orderBy(F.xxhash64("_row.text"))))
     else:
         plan = plan.drop("_nth")
-    both = join_null_safe(sized, plan, keys).select(*docs.columns, "_whole", "_parts")
+    both = join_null_safe(sized, plan, keys).select("_row", "_whole", "_parts")
     copies = F.concat(F.when(F.col("_whole") > 0, F.transform(F.sequence(F.lit(1), F.col("_whole")), lambda _: F.struct(F.lit(-1).alias("again_from"), F.lit(-1).alias("again_to")))).otherwise(F.array()), F.col("_parts"))
-    each = both.select(*docs.columns, F.explode(copies).alias("_part"))
-    words = F.split(F.regexp_replace("text", rf"^[{ASCII_SPACE}]+", ""), rf"[{ASCII_SPACE}]+")
+    each = both.select("_row", F.explode(copies).alias("_part"))
+    words = F.split(F.regexp_replace("_row.text", rf"^[{ASCII_SPACE}]+", ""), rf"[{ASCII_SPACE}]+")
     part = F.array_join(F.slice(words, F.col("_part.again_from") + 1, F.col("_part.again_to") - F.col("_part.again_from")), " ")
-    taken = each.withColumn("text", F.when(F.col("_part.again_from") < 0, F.col("text")).otherwise(part)).drop("_part")
-    return taken.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else taken
+    each = each.select("_row", F.when(F.col("_part.again_from") < 0, F.col("_row.text")).otherwise(part).alias("_text"))
+    made = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return each.select(*[made.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
