@@ -2,8 +2,8 @@
 
 Documents are dealt out by range of doc_id; each task encodes its documents in
 ascending order, appends the end id to each, and writes one shard: an Arrow IPC file
-whose batches hold two fixed-size lists, input_ids (uint32) and mask (uint8, 1 for an
-id, 0 for padding of the last sequence). Sequences lie one after another in one buffer,
+whose batches hold two fixed-size lists, input_ids (uint16, or uint32 for a larger
+vocabulary) and mask (true for an id, false for padding of the last sequence). Sequences lie one after another in one buffer,
 so sequence k of a shard is a slice of a memory map, without a copy. A second Arrow
 file beside it holds the shard's documents: doc_id, first id, number of ids.
 
@@ -35,14 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import cut, opened, publish
+from quillstone.llm.shared import cut, one_per_task, opened, publish
 
 END_ID = 2
 SEQUENCE = 1024
 #: Sequences in a batch of the file.
 BATCH = 256
-#: Distinct words that a task remembers; beyond it the memory starts anew.
-WORDS_HELD = 400_000
+#: Distinct words that a Python worker remembers at most.
+WORDS_HELD = 1_200_000
 MANIFEST = "first_doc long, shard int, path string, n_docs long, n_tokens long, n_sequences long"
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -68,45 +68,75 @@ def _encoder(path: str):
 
 
 class Encoder:
-    """Encodes texts to arrays of ids."""
+    """Encodes texts (UTF-8) to arrays of ids.
+
+    Distinct words are remembered in two halves: when the newer is full it becomes the older,
+    so words that come often stay and words that came once go.
+    """
 
     def __init__(self, path: str, end_id: int = END_ID, words_held: int = WORDS_HELD):
         self.tokenizer, self.by_word = _encoder(path)
-        self.end, self.most, self.known = end_id, words_held, {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        self.kind = id_type(self.tokenizer.get_vocab_size(), end_id)
+        self.end, self.most = np.array([end_id], self.kind).tobytes(), words_held // 2
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _fresh(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Brings words into the newer half."""
+        missing = words.difference(self.new)
+        if not missing:
+            return
+        if len(self.new) + len(missing) > self.most:
+            self.old, self.new = self.new, {}
+            missing = words
+        ask = []
+        for w in missing:
+            if (ids := self.old.get(w)) is None:
+                ask.append(w)
+            else:
+                self.new[w] = ids
+        # a mark after an ASCII letter is a token of its own: the stem may be known
+        two = [w for w in ask if len(w) > 1 and w[-1] in b".,;:!?" and 97 <= w[-2] <= 122 and b"'" not in w and b"<|" not in w]
+        ask = list(set(ask).difference(two) | {x for w in two for x in (w[:-1], w[-1:]) if x not in self.new})
+        for i in range(0, len(ask), 4096):
+            part = ask[i : i + 4096]
+            self.new.update(zip(part, self._fresh([w.decode() for w in part]), strict=True))
+        for w in two:
+            self.new[w] = self.new[w[:-1]] + self.new[w[-1:]]
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
-            return [np.array([*e.ids, self.end], dtype=np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        known, out = self.known, []
-        for text in texts:
-            for c in "\t\n\x0b\x0c\r":  # str.split() would also cut at white space beyond ASCII
-                text = text.replace(c, " ")
-            words = text.split(" ")
-            if missing := list({w for w in words if w not in known}):
-                if len(known) + len(missing) > self.most:
-                    known.clear()
-                    missing = list(set(words))
-                for i in range(0, len(missing), 4096):
-                    part = missing[i : i + 4096]
-                    for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                        known[w] = tuple(e.ids)
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            ids.append(self.end)
-            out.append(np.array(ids, dtype=np.uint32))
-        return out
+            return [np.frombuffer(ids + self.end, self.kind) for ids in self._fresh([t.decode() for t in texts])]
+        # bytes.lower() and split() know ASCII alone; the tokenizer lower-cases as well, but reads special tokens first
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        self._learn(set().union(*split))
+        ids = self.new.__getitem__
+        return [np.frombuffer(b"".join(map(ids, words)) + self.end, self.kind) for words in split]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, end_id: int) -> Encoder:
+    """One for all tasks of a Python worker, which so remembers words from task to task."""
+    return Encoder(path, end_id)
+
+
+def id_type(vocabulary: int, end_id: int) -> np.dtype:
+    """Two bytes where all ids fit, else four."""
+    return np.dtype("<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4")
 
 
 class ShardWriter:
     """Writes equal-length sequences and the documents' places."""
 
-    def __init__(self, uri: str, name: str, sequence: int):
+    def __init__(self, uri: str, name: str, sequence: int, kind: np.dtype):
         self.system, folder = opened(uri)
         self.system.create_dir(folder, recursive=True)
         self.final, self.part = f"{folder}/{name}", f"{folder}/.{name}.{os.getpid()}.{os.urandom(6).hex()}"
         self.width = sequence
-        self.schema = pa.schema([("input_ids", pa.list_(pa.uint32(), sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+        self.schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(kind), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
         self.place = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.out = self.system.open_output_stream(self.part)
         self.ids = pa.ipc.new_file(self.out, self.schema)
@@ -116,7 +146,7 @@ class ShardWriter:
         self.n_held = self.n_tokens = self.n_docs = self.n_sequences = 0
 
     def _write(self, flat: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(flat)) < real).astype(np.uint8)
+        mask = np.arange(len(flat)) < real
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.width) for v in (flat, mask)]
         self.ids.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         self.n_sequences += len(flat) // self.width
@@ -152,21 +182,21 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str, sequence: int = SEQU
     """Writes docs (doc_id, text) below uri and returns the manifest: one row per shard (MANIFEST) with `base`, the ids in all shards before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, encode, writer, first = TaskContext.get().partitionId(), Encoder(tokenizer, end_id), None, None
+        shard, encode, writer, first = TaskContext.get().partitionId(), encoder(tokenizer, end_id), None, None
         for b in batches:
             if not b.num_rows:
                 continue
             if writer is None:
-                writer, first = ShardWriter(uri, f"shard-{shard:06d}.arrow", sequence), b.column(0)[0].as_py()
+                writer, first = ShardWriter(uri, f"shard-{shard:06d}.arrow", sequence, encode.kind), b.column(0)[0].as_py()
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                writer.add(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]))
+                writer.add(part.column(0).to_pylist(), encode([t or b"" for t in part.column(1).to_pylist()]))
         if writer is not None:
             writer.close()
             name = f"{uri}/shard-{shard:06d}.arrow"
             yield pa.RecordBatch.from_pydict({"first_doc": pa.array([first], pa.int64()), "shard": pa.array([shard], pa.int32()), "path": [name], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens], "n_sequences": [writer.n_sequences]})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tie"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     manifest = cut(ordered.select("doc_id", "text").mapInArrow(run, MANIFEST))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -188,8 +218,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 yield from _documents(path, base)
 
-    tasks = manifest.select("path", "base", "shard").repartition("shard")
-    return tasks.select("path", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return one_per_task(manifest.select("path", "base")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _documents(path: str, base: int) -> Iterator[pa.RecordBatch]:
@@ -199,15 +228,15 @@ def _documents(path: str, base: int) -> Iterator[pa.RecordBatch]:
     local = system.type_name == "local"
     with pa.memory_map(name) if local else system.open_input_file(name) as source:
         file = pa.ipc.open_file(source)
-        at, offset, flat = 0, 0, np.zeros(0, np.uint32)
+        at, offset, flat = 0, 0, None
         starts, sizes = index["start"].to_numpy(), index["n_tokens"].to_numpy()
         crcs = np.zeros(len(starts), dtype=np.int64)
         for k, (start, size) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
-            while offset + len(flat) < start + size:  # batches are taken up as documents reach them
+            while flat is None or offset + len(flat) < start + size:  # batches are taken up as documents reach them
                 more = file.get_batch(at).column(0).flatten().to_numpy(zero_copy_only=True)
-                gone = max(0, start - offset)
-                flat = np.concatenate([flat[gone:], more]) if gone < len(flat) else more[gone - len(flat) :]
-                offset, at = offset + gone, at + 1
+                keep = flat[start - offset :] if flat is not None and start - offset < len(flat) else more[:0]
+                offset += 0 if flat is None else len(flat) - len(keep)
+                flat, at = np.concatenate([keep, more]) if len(keep) else more, at + 1
             crcs[k] = zlib.crc32(np.ascontiguousarray(flat[start - offset : start - offset + size], dtype="<u4"))
     for i in range(0, len(starts), 10_000):
         j = slice(i, i + 10_000)
