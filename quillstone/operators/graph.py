@@ -19,8 +19,8 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, with_self: bool = False
     """
     blocks = lambda df: max(1, -(-df.count() // block))
     nq, npool = blocks(queries), blocks(pool)
-    left = queries.select(F.col("id").alias("id"), "z", F.pmod(F.xxhash64("id"), nq).cast("int").alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(npool - 1))))
-    right = pool.select(F.col("id").alias("id"), "z", F.pmod(F.xxhash64("id"), npool).cast("int").alias("b")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    left = queries.select(F.col("id").alias("id"), F.col("z").alias("z"), F.pmod(F.xxhash64("id"), nq).cast("int").alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(npool - 1))))
+    right = pool.select(F.col("id").alias("id"), F.col("z").alias("z"), F.pmod(F.xxhash64("id"), npool).cast("int").alias("b")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
     def unit(z: pd.Series) -> np.ndarray:
         m = np.stack(z.to_numpy()).astype(float)

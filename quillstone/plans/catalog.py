@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators import atypical, classify, expression, graph, labels, ontology, stats, trajectory, trends
+from quillstone.operators import atypical, classify, doublets, expression, graph, labels, ontology, simplify, stats, trajectory, trends
+from quillstone.plans import compose
 from quillstone.plans.testbed import COARSE, COUNTS, EDGES_SQL, EVENTS, EXPR, KNN, LABELS, NODES, PROTOS, ROWS, SIMS, UP, Testbed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -588,3 +589,61 @@ def trend_curves(t: Testbed) -> DataFrame:
 @query()
 def shuffled_walks(t: Testbed) -> DataFrame:
     return rounded(trends.shuffled_statistics(t.events, 5), "statistic")
+
+
+# --- doublets, simplification, whole analyses -------------------------------------------------------
+
+BLEND = "b AS (SELECT c_custkey, c_nationkey AS batch, c_custkey % 17 AS pann, c_custkey % 23 AS dr, c_custkey % 5 AS cxds FROM customer), " + "r AS (SELECT *, count(*) OVER () AS n, " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}" for c in ("pann", "dr", "cxds")) + " FROM b), s AS (SELECT c_custkey, batch, round((.4 * r_pann + .4 * r_dr + .2 * r_cxds) / n, 9) AS score FROM r)"
+
+
+def _blended(t: Testbed) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = t.table("customer").select("c_custkey", F.col("c_nationkey").alias("batch"), (k % 17).alias("pann"), (k % 23).alias("dr"), (k % 5).alias("cxds"))
+    return rounded(doublets.blended(rows).select("c_custkey", "batch", "score"), "score", digits=9)
+
+
+@query(f"WITH {BLEND} SELECT c_custkey, batch, score FROM s")
+def doublet_rank_blend(t: Testbed) -> DataFrame:
+    return _blended(t)
+
+
+@query(f"WITH {BLEND}, q AS (SELECT batch, count(*) AS n, quantile_cont(score, .92) AS c FROM s GROUP BY 1) SELECT c_custkey, CASE WHEN n < 5 THEN 0 ELSE score END AS score, n >= 5 AND score >= c - 1e-12 AS is_doublet FROM s JOIN q USING (batch)")
+def doublet_calls(t: Testbed) -> DataFrame:
+    return doublets.called(_blended(t), by=["batch"], least=5).select("c_custkey", "score", "is_doublet")
+
+
+@query()
+def doublet_neighbourhoods(t: Testbed) -> DataFrame:
+    return rounded(doublets.neighbourhoods(t.rows.select("id", "z"), 30, 10), "pann")
+
+
+@query()
+def doublet_co_expression(t: Testbed) -> DataFrame:
+    return rounded(doublets.co_expression(t.coarse, t.cells, 20), "cxds")
+
+
+@query()
+def similarity_simplification(t: Testbed) -> DataFrame:
+    return simplify.by_similarity(t.edges, t.counts, 0.6)
+
+
+@query()
+def prediction_with_refinement(t: Testbed) -> DataFrame:
+    return rounded(compose.predict(t.rows, classify.prototypes(t.rows), compose.Settings(neighbours=10)), "score")
+
+
+@query()
+def evaluation(t: Testbed) -> DataFrame:
+    out = compose.evaluate(t.rows, classify.prototypes(t.rows), t.edges, compose.Settings(neighbours=10))
+    return out.select("id", "label", "abnormality", "is_seed", "community", "is_atypical")
+
+
+@query()
+def pseudotime(t: Testbed) -> DataFrame:
+    fates = t.spark.createDataFrame([("A",), ("B",), ("D",)], "node string")
+    return rounded(compose.pseudotime(_positions(t), t.edges, t.rows.select("id", (F.col("id") * 37 % 101).alias("genes")), fates), "place", "pct")
+
+
+@query(f"WITH {POS}, s AS (SELECT id % 3 AS grp, source, target, CASE WHEN target IS NOT NULL AND relative > .1 AND relative < .9 THEN 'Transitioning' ELSE 'Stable' END AS state FROM pos) SELECT grp AS \"group\", source, target, state, count(*) AS n, round(count(*) / any_value(size), 6) AS share FROM s JOIN (SELECT id % 3 AS grp, count(*) AS size FROM rows GROUP BY 1) USING (grp) GROUP BY 1, 2, 3, 4")
+def group_comparison(t: Testbed) -> DataFrame:
+    return rounded(compose.compare(_positions(t), t.rows.select("id", (F.col("id") % 3).alias("group"))), "share")

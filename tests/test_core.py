@@ -168,3 +168,20 @@ def test_rows_of_a_stream_are_classified(spark, tmp_path):
     stream = live.classified(spark.readStream.schema("id long, z array<double>").parquet(str(tmp_path / "in")), protos)
     stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     assert {r.id: r.label for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: "x", 2: "y"}
+
+
+def test_simplification_on_the_driver():
+    from quillstone.operators import simplify
+
+    d = 1 - np.array([[1, 0.9, 0.1], [0.9, 1, 0.2], [0.1, 0.2, 1]])
+    assert simplify.average_linkage(d, 0.3).tolist() == [0, 0, 2] and len(set(simplify.average_linkage(d, 1.0))) == 1
+    assert simplify.covers({"x": {"a", "b", "c"}, "y": {"b", "c"}, "z": {"d"}}) == {"a": "x", "b": "x", "c": "x"}
+    deep = simplify.elastic_depths([("b", "a"), ("c", "b")], {"a": 0, "b": 1, "c": 2}, {"a": 0.0, "b": 0.3, "c": 0.2})
+    assert deep["a"] < deep["b"] < deep["c"]
+
+
+def test_settings_are_checked():
+    from quillstone.plans.compose import Settings
+
+    with pytest.raises(ValueError):
+        Settings(alpha=2)
