@@ -49,7 +49,9 @@ DISCOUNT = 0.75
 STRENGTH = 8.0
 #: A word's logarithm of the ratio speaks from here on; below, the classes count as equal.
 ZONE = 1.2
-TRAIN_DOCUMENTS = 4000
+TRAIN_DOCUMENTS = 2000
+#: Words of fewer training rows tell nothing of a class and are not learnt.
+LEAST_DOCUMENTS = 2
 #: Parts of the training rows that the curve is fitted across.
 PARTS = 3
 FOLDS = 5
@@ -81,17 +83,20 @@ def _spelt(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return joined, np.arange(len(joined)) - np.repeat(starts, sizes), np.repeat(np.arange(len(words)), sizes)
 
 
-def _hashes(joined: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
-    """h[k]: hash of the k bytes that end at each place; with fewer there, of all of them."""
-    h = [np.zeros(len(joined), dtype=np.uint64)]
-    power = np.uint64(1)
+def _hashes(joined: np.ndarray, place: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """For k from 0 to order: the hash of the k bytes that end at each place; with fewer there, of all of them."""
+    h, power = np.zeros(len(joined), dtype=np.uint64), np.uint64(1)
+    yield h
     for k in range(1, order + 1):
         with np.errstate(over="ignore"):
             power = power * _BASE
             back = np.zeros(len(joined), dtype=np.uint64)
             back[k - 1 :] = joined[: max(0, len(joined) - k + 1)]
-            h.append(np.where(place >= k - 1, h[-1] + (back + np.uint64(257)) * power, h[-1]))
-    return h
+            back += np.uint64(257)
+            back *= power
+            back[place < k - 1] = 0
+            h = h + back
+        yield h
 
 
 def _before(h: np.ndarray) -> np.ndarray:
@@ -99,6 +104,13 @@ def _before(h: np.ndarray) -> np.ndarray:
     return np.concatenate([[np.uint64(0)], h[:-1]])
 
 
+def _last_two(h: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    before = now = next(h)
+    for x in h:
+        before, now = now, x
+    return before, now
+
+
 def _mixed(gram: np.ndarray) -> np.ndarray:
     """Spreads hashes of sums, so that sums of unlike n-grams don't meet."""
     with np.errstate(over="ignore"):
@@ -126,8 +138,8 @@ class Model:
         if not words or not len(self.grams):
             return np.zeros(len(words))
         joined, place, number = _spelt(words)
-        h = _hashes(joined, place, self.order)
-        gram, context = _mixed(h[self.order]), _mixed(_before(h[self.order - 1]))
+        shorter, gram = _last_two(_hashes(joined, place, self.order))
+        gram, context = _mixed(gram), _mixed(_before(shorter))
         at = place > 0
         gram, context, number = gram[at], context[at], number[at]
         i = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
@@ -151,14 +163,19 @@ def train(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray, order: in
     if not words or not toxic.sum() or not ordinary.sum():
         return Model(order, none.astype(np.uint64), none, none.astype(np.uint64), none)
     joined, place, number = _spelt(words)
-    h = _hashes(joined, place, order)
+    hashes = _hashes(joined, place, order)
     at = place > 0
+    behind, now = next(hashes), next(hashes)  # of k - 1 and k bytes; all orders at once would not fit
 
     # shared: continuation counts of shorter n-grams, from the distinct n-grams one byte longer
     shared = np.full(len(joined), 1 / 256)
     for k in range(1, order):
-        longer, gram, context = h[k + 1][at], h[k][at], _before(h[k - 1])[at] if k > 1 else np.zeros(int(at.sum()), np.uint64)
+        ahead = next(hashes)
+        longer, gram, context = ahead[at], now[at], _before(behind)[at]
+        behind, now = now, ahead
         has_longer = place[at] >= k  # a byte stands before the n-gram
+        if not has_longer.any():  # all words are shorter
+            continue
         _, first = np.unique(longer[has_longer], return_index=True)
         g, c = gram[has_longer][first], context[has_longer][first]
         grams, where, _, cont = _tally(g, np.ones(len(g)))
@@ -170,7 +187,8 @@ def train(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray, order: in
         lower = shared[at]
         shared[at] = np.where(seen, (own + discount * kinds[j] * lower) / np.maximum(total[j], 1), lower)
 
-    gram, context = _mixed(h[order][at]), _mixed(_before(h[order - 1])[at])
+    gram, context = _mixed(now[at]), _mixed(_before(behind)[at])
+    del behind, now, joined, place
     weights = [n[number[at]] for n in (toxic, ordinary)]
     grams, first, _, *counts = _tally(gram, *weights)
     of_gram = context[first]
@@ -178,14 +196,14 @@ def train(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray, order: in
 
     def smoothed(n: np.ndarray, lower: np.ndarray, strength: float) -> tuple[np.ndarray, np.ndarray]:
         """Of counts by n-gram: the probability of each, and by context the share that goes to lower."""
-        total = np.bincount(of, weights=n, minlength=len(contexts)) + strength
+        total = np.maximum(np.bincount(of, weights=n, minlength=len(contexts)) + strength, 1e-9)
         rest = (strength + discount * np.bincount(of, weights=n > 0, minlength=len(contexts))) / total
         return np.maximum(n - discount, 0) / total[of] + rest[of] * lower, rest
 
     both, _ = smoothed(counts[0] + counts[1], shared[at][first], 0.0)
     (p, p_rest), (q, q_rest) = (smoothed(n, both, strength) for n in counts)
-    logs, rests = (np.log(p), np.log(q)), (np.log(p_rest), np.log(q_rest))
-    return Model(order, grams, logs[0] - logs[1], contexts, rests[0] - rests[1])
+    logs, rests = ([np.log(np.maximum(x, 1e-300)) for x in pair] for pair in ((p, q), (p_rest, q_rest)))
+    return Model(order, grams, (logs[0] - logs[1]).astype(np.float32), contexts, (rests[0] - rests[1]).astype(np.float32))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -228,6 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, limit: int = TRA
 
     schema = "word binary, " + ", ".join(f"{n} long" for n in names)
     counted = sample.select("toxic", "part", "text").mapInArrow(count, schema).groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
+    counted = counted.where(sum(F.col(n) for n in names) >= LEAST_DOCUMENTS)
     table = counted.orderBy("word").toArrow()
     words = table["word"].to_pylist()
     n = np.array([table[c].to_numpy() for c in names], dtype=float).reshape(2, PARTS, len(words))
