@@ -103,7 +103,8 @@ def deduplicate(spark: SparkSession, path: str, home: str | None = None, digest_
         return empty
     ingest(spark, path, home, digest_bytes)
     log = spark.read.schema(LOG).parquet(f"{home}/log").withColumn("digest", F.substring("sha", 1, digest_bytes))
-    held = log.join(groups(spark, home), ["digest", "bytes"])
+    # cut, so that the join is of two plain exchanges, of which Spark can split a hot digest's
+    held = log.join(cut(groups(spark, home)), ["digest", "bytes"])
     is_keep = lambda: (F.col("path") == F.col("keep.path")) & (F.col("row") == F.col("keep.row"))
     out = held.select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), is_keep().alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "path", "row", "digest", "bytes",
