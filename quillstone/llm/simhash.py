@@ -242,7 +242,12 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, words: int = SHIN
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each group: that of the smallest doc_id; of several rows with it, that of the smallest text hash."""
-    groups = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return keep_first(docs, near_duplicates(docs, **options))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs with the row of each group that drop_near_duplicates keeps; groups: (doc_id, component_id, root, text_hash)."""
+    groups = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     counted = groups.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
     first = cut(counted.groupBy("root").agg(F.min("text_hash").alias("text_hash"), F.min_by(F.struct("doc_id", "rows"), "text_hash").alias("of")).select("of.*", "text_hash"))
     key, tie = fresh(docs, "first_doc"), fresh(docs, "first_hash")
