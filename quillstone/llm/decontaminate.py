@@ -11,7 +11,8 @@ with those of the benchmark. Matches at one offset form an alignment. Its slots
 consistent: each value of the item stands for one value of the document and the reverse,
 so that a re-parameterised question (other names, other numbers, the same everywhere) is
 caught and a chance meeting of templates isn't. A document is contaminated by an item if
-consistent alignments cover at least `coverage` of the item's windows.
+consistent alignments cover at least `coverage` of the item's windows, or if one of them
+runs over at least `run` tokens without a gap, however long the item is.
 
 The benchmark's windows are broadcast only while they are counted to be at most
 BROADCAST_ROWS; beyond that the join shuffles.
@@ -19,7 +20,8 @@ BROADCAST_ROWS; beyond that the join shuffles.
 Defined results: null text counts as empty and matches nothing; an item of under eight
 tokens is one window, which only a document of the same few tokens matches; an item that
 stands in a document many times counts each of its windows once; repeated rows of one
-doc_id are one document; empty tables give no rows; other columns are ignored.
+doc_id are one document, repeated rows of an item are one item, and of several texts of one
+item_id the one that is covered best counts; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from quillstone.llm.shared import cut, fresh, join_null_safe
 WINDOW = 8
 PLAIN_WORDS = 4
 COVERAGE = 0.4
+#: Consecutive tokens of an item that are a passage of it.
+RUN_TOKENS = 13
 BROADCAST_ROWS = 1_000_000
 BROADCAST_IDS = 500_000
 #: Marks of a placeholder's type, before its value.
@@ -72,36 +76,41 @@ def template_windows(rows: DataFrame, text: str = "text", window: int = WINDOW)
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, plain_words: int = PLAIN_WORDS) -> DataFrame:
-    """(hash, item_id, item_pos, item_toks, item_windows) for every template window that has plain words enough."""
+    """(hash, item_id, item_key, item_pos, item_toks, item_windows) for every template window that has plain words enough."""
     # the outer explode: of the inner, Spark infers a filter that computes the windows again
-    rows = template_windows(benchmark.select("item_id", "text"), window=window).select("item_id", "toks", F.posexplode_outer("windows").alias("item_pos", "hash")).where("hash is not null")
+    rows = template_windows(benchmark.select("item_id", "text").distinct(), window=window).select("item_id", F.xxhash64("text").alias("item_key"), "toks", F.posexplode_outer("windows").alias("item_pos", "hash")).where("hash is not null")
     rows = rows.withColumn("item_toks", F.expr(f"slice(toks, item_pos + 1, {window})"))
     rows = rows.where(F.expr(f"size(filter(item_toks, t -> t >= '\\u0004')) >= least({plain_words}, size(item_toks))"))
-    total = rows.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    return join_null_safe(rows, total, ["item_id"]).select("hash", "item_id", "item_pos", "item_toks", "item_windows")
+    total = rows.groupBy("item_id", "item_key").agg(F.count("*").alias("item_windows"))
+    return join_null_safe(rows, total, ["item_id", "item_key"]).select("hash", "item_id", "item_key", "item_pos", "item_toks", "item_windows")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, plain_words: int = PLAIN_WORDS) -> DataFrame:
-    """(doc_id, item_id, n_windows, item_windows, n_slots, n_changed) for every pair that shares consistent windows."""
+    """(doc_id, item_id, n_windows, item_windows, n_run, n_slots, n_changed) for every pair that shares consistent windows; n_run: the most in a row."""
     items = cut(benchmark_windows(benchmark, window, plain_words))
     items = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
     found = template_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window=window)
     found = found.select("doc_id", "toks", F.posexplode_outer("windows").alias("pos", "hash")).join(items, "hash")
     slots = F.expr(f"filter(zip_with(item_toks, slice(toks, pos + 1, {window}), (i, d) -> struct(i, d)), s -> s.i < '\\u0004')")
-    found = found.select("doc_id", "item_id", "item_windows", (F.col("pos") - F.col("item_pos")).alias("offset"), "item_pos", slots.alias("slots"))
-    aligned = found.groupBy("doc_id", "item_id", "item_windows", "offset").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    found = found.select("doc_id", "item_id", "item_key", "item_windows", (F.col("pos") - F.col("item_pos")).alias("offset"), "item_pos", slots.alias("slots"))
+    aligned = found.groupBy("doc_id", "item_id", "item_key", "item_windows", "offset").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     one_to_one = F.expr("size(array_distinct(transform(slots, s -> s.i))) = size(slots) and size(array_distinct(transform(slots, s -> s.d))) = size(slots)")
-    return aligned.where(one_to_one).groupBy("doc_id", "item_id", "item_windows").agg(
+    longer = "if(p = s.last + 1, s.run + 1, 1)"
+    run = F.expr(f"aggregate(array_sort(at), struct(-2 as last, 0 as run, 0 as best), (s, p) -> struct(p as last, {longer} as run, greatest(s.best, {longer}) as best), s -> s.best)")
+    by_text = aligned.where(one_to_one).groupBy("doc_id", "item_id", "item_key", "item_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"),
+        F.max(run).cast("long").alias("n_run"),
         F.max(F.size("slots")).cast("long").alias("n_slots"),
         F.max(F.expr("size(filter(slots, s -> s.i != s.d))")).cast("long").alias("n_changed"),
     )
+    best = F.max_by(F.struct("n_windows", "item_windows", "n_slots", "n_changed"), F.struct(F.col("n_windows") / F.col("item_windows"), "n_windows", "item_key"))
+    return by_text.groupBy("doc_id", "item_id").agg(best.alias("of"), F.max("n_run").alias("n_run")).select("doc_id", "item_id", "of.n_windows", "of.item_windows", "n_run", "of.n_slots", "of.n_changed")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, **options) -> DataFrame:
-    """The pairs of `matches` that cover enough of the item, with the share covered."""
-    found = matches(docs, benchmark, **options).withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
-    return found.where(F.col("coverage") >= coverage)
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN_TOKENS, window: int = WINDOW, **options) -> DataFrame:
+    """The pairs of `matches` that cover enough of the item or run over enough of its tokens, with the share covered."""
+    found = matches(docs, benchmark, window, **options).withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
+    return found.where((F.col("coverage") >= coverage) | (F.col("n_run") >= run - window + 1))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
