@@ -3,15 +3,18 @@
 Canonical form: names (a capitalised word inside a sentence), numbers, and units after a
 number become typed placeholders, which keep the value that stood there; all else is
 lower-cased and freed of punctuation. A template window is eight tokens, of which a
-placeholder counts by its type alone. Windows of the benchmark with fewer than four plain
-words are left out, since they would fit anything.
+placeholder counts by its type alone. Template windows of the benchmark with fewer than
+four plain words are left out, since they would fit anything. Exact windows are eight tokens
+whose values all count, be they placeholders or not; none is left out. So a copy is found
+whatever its numbers, and though its case or line breaks hide the names.
 
 Windows are hashed by doubling (pairs, fours, eights of hashed tokens) and hash-joined
 with those of the benchmark. Matches at one offset form an alignment. Its slots must be
 consistent: each value of the item stands for one value of the document and the reverse,
 so that a re-parameterised question (other names, other numbers, the same everywhere) is
 caught and a chance meeting of templates isn't. A document is contaminated by an item if
-consistent alignments cover at least `coverage` of the item's windows, or if one of them
+consistent alignments cover at least `coverage` of the item's template windows by either kind
+of match, or as much of all its windows, or if one of them
 runs over at least `run` tokens without a gap, however long the item is.
 
 The benchmark's windows are broadcast only while they are counted to be at most
@@ -63,46 +66,70 @@ def canonical(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def template_windows(rows: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Adds toks (canonical tokens) and windows (hashes of template windows, by first token) to rows; window is a power of two."""
+    """Adds toks (canonical tokens), windows and exact (hashes of template and of exact windows, by first token) to rows; window is a power of two.
+
+    Without placeholders, a window's two hashes are equal.
+    """
     if window & (window - 1) or window < 2:
         raise ValueError("window must be a power of two")
     rows = canonical(rows, text)
-    rows = rows.withColumn("windows", F.expr("transform(toks, t -> xxhash64(if(t < '\\u0004', left(t, 1), t)))"))
-    width = 1
-    while width < window:
-        rows = rows.withColumn("windows", F.expr(f"zip_with(windows, slice(windows, {width + 1}, greatest(size(windows) - {width}, 0)), (a, b) -> xxhash64(a, b))"))
-        width *= 2
-    return rows.withColumn("windows", F.expr(f"slice(windows, 1, greatest(size(windows) - {window - 1}, least(size(windows), 1)))"))
+    for name, token in (("windows", "left(t, 1)"), ("exact", "substr(t, 2)")):
+        rows = rows.withColumn(name, F.expr(f"transform(toks, t -> xxhash64(if(t < '\\u0004', {token}, t)))"))
+        width = 1
+        while width < window:
+            rows = rows.withColumn(name, F.expr(f"zip_with({name}, slice({name}, {width + 1}, greatest(size({name}) - {width}, 0)), (a, b) -> xxhash64(a, b))"))
+            width *= 2
+        rows = rows.withColumn(name, F.expr(f"slice({name}, 1, greatest(size({name}) - {window - 1}, least(size({name}), 1)))"))
+    return rows
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, plain_words: int = PLAIN_WORDS) -> DataFrame:
-    """(hash, item_id, item_key, item_pos, item_toks, item_windows) for every template window that has plain words enough."""
+    """(hash, item_id, item_key, item_pos, item_toks, plain, item_windows, all_windows) for every template window that has plain words enough, and every exact window.
+
+    plain: the window has plain words enough; item_windows counts those, all_windows all.
+    """
+    rows = template_windows(benchmark.select("item_id", "text").distinct(), window=window)
     # the outer explode: of the inner, Spark infers a filter that computes the windows again
-    rows = template_windows(benchmark.select("item_id", "text").distinct(), window=window).select("item_id", F.xxhash64("text").alias("item_key"), "toks", F.posexplode_outer("windows").alias("item_pos", "hash")).where("hash is not null")
+    rows = rows.select("item_id", F.xxhash64("text").alias("item_key"), "toks", "exact", F.posexplode_outer("windows").alias("item_pos", "hash")).where("hash is not null")
     rows = rows.withColumn("item_toks", F.expr(f"slice(toks, item_pos + 1, {window})"))
-    rows = rows.where(F.expr(f"size(filter(item_toks, t -> t >= '\\u0004')) >= least({plain_words}, size(item_toks))"))
-    total = rows.groupBy("item_id", "item_key").agg(F.count("*").alias("item_windows"))
-    return join_null_safe(rows, total, ["item_id", "item_key"]).select("hash", "item_id", "item_key", "item_pos", "item_toks", "item_windows")
+    rows = rows.withColumn("plain", F.expr(f"size(filter(item_toks, t -> t >= '\\u0004')) >= least({plain_words}, size(item_toks))"))
+    total = rows.groupBy("item_id", "item_key").agg(F.count_if("plain").alias("item_windows"), F.count("*").alias("all_windows"))
+    hashes = F.array_distinct(F.expr("if(plain, array(hash, exact[item_pos]), array(exact[item_pos]))"))
+    rows = rows.select("item_id", "item_key", "item_pos", "item_toks", "plain", F.explode(hashes).alias("hash"))
+    return join_null_safe(rows, total, ["item_id", "item_key"]).select("hash", "item_id", "item_key", "item_pos", "item_toks", "plain", "item_windows", "all_windows")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, plain_words: int = PLAIN_WORDS) -> DataFrame:
-    """(doc_id, item_id, n_windows, item_windows, n_run, n_slots, n_changed) for every pair that shares consistent windows; n_run: the most in a row."""
+    """(doc_id, item_id, n_windows, item_windows, n_run, n_slots, n_changed) for every pair that shares consistent windows; n_run: the most in a row.
+
+    The windows are counted among the item's template windows or all its windows, whichever are covered better.
+    """
     items = cut(benchmark_windows(benchmark, window, plain_words))
     items = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
     found = template_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window=window)
-    found = found.select("doc_id", "toks", F.posexplode_outer("windows").alias("pos", "hash")).join(items, "hash")
-    slots = F.expr(f"filter(zip_with(item_toks, slice(toks, pos + 1, {window}), (i, d) -> struct(i, d)), s -> s.i < '\\u0004')")
-    found = found.select("doc_id", "item_id", "item_key", "item_windows", (F.col("pos") - F.col("item_pos")).alias("offset"), "item_pos", slots.alias("slots"))
-    aligned = found.groupBy("doc_id", "item_id", "item_key", "item_windows", "offset").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    # template windows, then the exact ones that differ from them
+    found = found.withColumn("hashes", F.expr("concat(windows, zip_with(windows, exact, (w, e) -> if(w = e, null, e)))"))
+    found = found.select("doc_id", "toks", F.size("windows").alias("n"), F.posexplode_outer("hashes").alias("pos", "hash")).join(items, "hash").withColumn("pos", F.expr("pos % n"))
+    # a slot's value is compared without the marks, as an exact copy may lack them
+    value = lambda t: f"if({t} < '\\u0004', substr({t}, 2), {t})"
+    slots = F.expr(f"filter(zip_with(item_toks, slice(toks, pos + 1, {window}), (i, d) -> struct(i, if({value('i')} = {value('d')}, i, d) as d)), s -> s.i < '\\u0004')")
+    keys = ["doc_id", "item_id", "item_key", "item_windows", "all_windows"]
+    found = found.select(*keys, (F.col("pos") - F.col("item_pos")).alias("offset"), "item_pos", "plain", slots.alias("slots"))
+    aligned = found.groupBy(*keys, "offset").agg(
+        F.collect_set("item_pos").alias("at"), F.collect_set(F.when(F.col("plain"), F.col("item_pos"))).alias("plain_at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+    )
     one_to_one = F.expr("size(array_distinct(transform(slots, s -> s.i))) = size(slots) and size(array_distinct(transform(slots, s -> s.d))) = size(slots)")
     longer = "if(p = s.last + 1, s.run + 1, 1)"
     run = F.expr(f"aggregate(array_sort(at), struct(-2 as last, 0 as run, 0 as best), (s, p) -> struct(p as last, {longer} as run, greatest(s.best, {longer}) as best), s -> s.best)")
-    by_text = aligned.where(one_to_one).groupBy("doc_id", "item_id", "item_key", "item_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"),
+    by_text = aligned.where(one_to_one).groupBy(*keys).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_all"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("plain_at")))).cast("long").alias("n_plain"),
         F.max(run).cast("long").alias("n_run"),
         F.max(F.size("slots")).cast("long").alias("n_slots"),
         F.max(F.expr("size(filter(slots, s -> s.i != s.d))")).cast("long").alias("n_changed"),
     )
+    by_plain = F.expr("item_windows > 0 and n_plain * all_windows >= n_all * item_windows")
+    by_text = by_text.withColumn("n_windows", F.when(by_plain, F.col("n_plain")).otherwise(F.col("n_all"))).withColumn("item_windows", F.when(by_plain, F.col("item_windows")).otherwise(F.col("all_windows")))
     best = F.max_by(F.struct("n_windows", "item_windows", "n_slots", "n_changed"), F.struct(F.col("n_windows") / F.col("item_windows"), "n_windows", "item_key"))
     return by_text.groupBy("doc_id", "item_id").agg(best.alias("of"), F.max("n_run").alias("n_run")).select("doc_id", "item_id", "of.n_windows", "of.item_windows", "n_run", "of.n_slots", "of.n_changed")
 

@@ -33,3 +33,18 @@ def test_an_item_that_is_repeated_is_one_item(spark):
     short = " ".join(item.split()[:12])  # 5 of 10 windows
     got = contaminated(spark, [around(short)], [(1, item)] * 3 + [(1, prose(6, 50))])
     assert got[0, 1].item_windows == 10 and got[0, 1].coverage == 0.5
+
+
+def test_an_item_of_numbers_is_caught_word_for_word(spark):
+    sums = "What is 12 + 34 * 56 - 78?"
+    long = "Add 12, 15, 18, 21, 24, 27, 30, 33, 36 and 39"  # no window has four plain words
+    got = contaminated(spark, [sums, around(long), "what is 12 + 34 * 56 - 79?", around(long.replace("27", "28"))], [(0, sums), (1, long)])
+    assert set(got) == {(0, 0), (1, 1)}
+
+
+def test_case_and_line_breaks_do_not_hide_names(spark):
+    words = prose(7, 40).split()
+    words[3::4] = ["".join(w).title() for w in words[3::4]]  # a name in every window
+    item = " ".join(words)
+    got = contaminated(spark, [around(item), around(item.lower()), around(item.replace(" ", "\n")), around(item.upper())], [(0, item)])
+    assert {k: v.coverage for k, v in got.items()} == {(i, 0): 1 for i in range(4)}
