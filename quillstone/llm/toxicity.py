@@ -21,7 +21,7 @@ Training reads labelled rows that are not held out. It takes at most TRAIN_DOCUM
 of each class, those with the smallest hashed ids, so the tables are bounded.
 The curve is fitted across PARTS parts of them, each scored by a model of the others, and
 weighted to the classes' true shares; the final model has them all. Words are counted by
-the executors; all documents are scored whole.
+the executors, and one task of theirs trains the models; all documents are scored whole.
 
 Defined results: null and empty texts and texts without letters have a ratio of zero; null
 labels are ignored; of a doc_id with several labels the largest counts; without training
@@ -38,10 +38,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import cut
+from quillstone.llm.shared import cut, opened, work_dir
 
 ORDER = 9
 DISCOUNT = 0.75
@@ -49,12 +50,12 @@ DISCOUNT = 0.75
 STRENGTH = 8.0
 #: A word's logarithm of the ratio speaks from here on; below, the classes count as equal.
 ZONE = 1.2
-TRAIN_DOCUMENTS = 2000
-#: Words of fewer training rows tell nothing of a class and are not learnt.
-LEAST_DOCUMENTS = 2
+TRAIN_DOCUMENTS = 4000
 #: Parts of the training rows that the curve is fitted across.
 PARTS = 3
 FOLDS = 5
+#: Parts of the n-grams that are counted one after another, to hold less at once.
+BLOCKS = 16
 #: Distinct words that a task remembers; beyond it the memory starts anew.
 WORDS_HELD = 500_000
 START, STOP = 1, 2
@@ -157,6 +158,14 @@ def _tally(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     return found, first, inverse, *(np.bincount(inverse, weights=w, minlength=len(found)) for w in weights)
 
 
+def _by_context(context: np.ndarray, places: np.ndarray) -> Iterator[np.ndarray]:
+    """The places in BLOCKS parts; those of one context stay together, so that each part is counted alone."""
+    block = (context[places] >> np.uint64(40)) % np.uint64(BLOCKS)
+    for k in range(BLOCKS):
+        if len(some := places[block == k]):
+            yield some
+
+
 def train(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray, order: int = ORDER, discount: float = DISCOUNT, strength: float = STRENGTH) -> Model:
     """Model from distinct words and how often each class has them."""
     none = np.zeros(0)
@@ -170,29 +179,18 @@ def train(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray, order: in
     # shared: continuation counts of shorter n-grams, from the distinct n-grams one byte longer
     shared = np.full(len(joined), 1 / 256)
     for k in range(1, order):
-        ahead = next(hashes)
-        longer, gram, context = ahead[at], now[at], _before(behind)[at]
+        ahead, context = next(hashes), _before(behind)
+        for some in _by_context(context, np.flatnonzero(at & (place >= k))):  # a byte stands before the n-gram
+            gram, of_some, lower = now[some], context[some], shared[some]
+            _, first = np.unique(ahead[some], return_index=True)
+            grams, where, _, cont = _tally(gram[first], np.ones(len(first)))
+            contexts, _, _, total, kinds = _tally(of_some[first][where], cont, np.ones(len(where)))
+            i, j = np.searchsorted(grams, gram), np.searchsorted(contexts, of_some)
+            shared[some] = (np.maximum(cont[i] - discount, 0) + discount * kinds[j] * lower) / total[j]
         behind, now = now, ahead
-        has_longer = place[at] >= k  # a byte stands before the n-gram
-        if not has_longer.any():  # all words are shorter
-            continue
-        _, first = np.unique(longer[has_longer], return_index=True)
-        g, c = gram[has_longer][first], context[has_longer][first]
-        grams, where, _, cont = _tally(g, np.ones(len(g)))
-        contexts, _, of, total, kinds = _tally(c[where], cont, np.ones(len(where)))
-        i = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
-        j = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-        seen = has_longer & (contexts[j] == context)
-        own = np.where(grams[i] == gram, np.maximum(cont[i] - discount, 0), 0)
-        lower = shared[at]
-        shared[at] = np.where(seen, (own + discount * kinds[j] * lower) / np.maximum(total[j], 1), lower)
-
-    gram, context = _mixed(now[at]), _mixed(_before(behind)[at])
-    del behind, now, joined, place
-    weights = [n[number[at]] for n in (toxic, ordinary)]
-    grams, first, _, *counts = _tally(gram, *weights)
-    of_gram = context[first]
-    contexts, _, of = np.unique(of_gram, return_index=True, return_inverse=True)
+
+    gram, context = _mixed(now), _mixed(_before(behind))
+    del behind, now, ahead, joined, place, hashes
 
     def smoothed(n: np.ndarray, lower: np.ndarray, strength: float) -> tuple[np.ndarray, np.ndarray]:
         """Of counts by n-gram: the probability of each, and by context the share that goes to lower."""
@@ -200,10 +198,17 @@ def train(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray, order: in
         rest = (strength + discount * np.bincount(of, weights=n > 0, minlength=len(contexts))) / total
         return np.maximum(n - discount, 0) / total[of] + rest[of] * lower, rest
 
-    both, _ = smoothed(counts[0] + counts[1], shared[at][first], 0.0)
-    (p, p_rest), (q, q_rest) = (smoothed(n, both, strength) for n in counts)
-    logs, rests = ([np.log(np.maximum(x, 1e-300)) for x in pair] for pair in ((p, q), (p_rest, q_rest)))
-    return Model(order, grams, (logs[0] - logs[1]).astype(np.float32), contexts, (rests[0] - rests[1]).astype(np.float32))
+    found = []
+    for some in _by_context(context, np.flatnonzero(at)):
+        grams, first, _, *counts = _tally(gram[some], *[n[number[some]] for n in (toxic, ordinary)])
+        contexts, of = np.unique(context[some][first], return_inverse=True)
+        both, _ = smoothed(counts[0] + counts[1], shared[some][first], 0.0)
+        (p, p_rest), (q, q_rest) = (smoothed(n, both, strength) for n in counts)
+        logs, rests = ([np.log(np.maximum(x, 1e-300)) for x in pair] for pair in ((p, q), (p_rest, q_rest)))
+        found.append((grams, (logs[0] - logs[1]).astype(np.float32), contexts, (rests[0] - rests[1]).astype(np.float32)))
+    grams, gram_ratio, contexts, context_ratio = (np.concatenate(x) for x in zip(*found, strict=True))
+    i, j = np.argsort(grams), np.argsort(contexts)
+    return Model(order, grams[i], gram_ratio[i], contexts[j], context_ratio[j])
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -221,6 +226,36 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(a), float(b)
 
 
+def _trained(counted: DataFrame, order: int) -> tuple[list[Model], Model]:
+    """Models without each part, and of all parts, from (word, o0, .., t0, ..).
+
+    One task trains them one after another, so that neither the driver nor two tasks of one
+    executor hold their arrays; the words are bounded by the rows that fit takes.
+    """
+    path = work_dir(counted.sparkSession, "toxicity")
+    arrays = ("grams", "gram_ratio", "contexts", "context_ratio")
+    kinds = dict(zip(arrays, ("<u8", "<f4", "<u8", "<f4"), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = [], []
+        for b in batches:
+            words += b.column(0).to_pylist()
+            counts.append(np.array([b.column(i + 1).to_numpy() for i in range(2 * PARTS)], dtype=float))
+        n = np.concatenate([np.zeros((2 * PARTS, 0)), *counts], axis=1).reshape(2, PARTS, len(words))
+        for part in range(PARTS + 1):
+            ordinary, toxic = n.sum(axis=1) - (n[:, part] if part < PARTS else 0)
+            some = np.flatnonzero(toxic + ordinary)
+            model = train([words[i] for i in some], toxic[some], ordinary[some], order)
+            yield pa.RecordBatch.from_pydict({"part": [part]} | {a: [getattr(model, a).astype(kinds[a]).tobytes()] for a in arrays})
+
+    counted.coalesce(1).sortWithinPartitions("word").mapInArrow(run, "part long, " + ", ".join(f"{a} binary" for a in arrays)).write.parquet(path)
+    system, local = opened(path)
+    found: dict[int, Model] = {}
+    for row in pq.read_table(local, filesystem=system).to_batches(max_chunksize=1):
+        found[row["part"][0].as_py()] = Model(order, *(np.frombuffer(row[a][0].as_buffer(), dtype=kinds[a]) for a in arrays))
+    return [found[k] for k in range(PARTS)], found[PARTS]
+
+
 def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, limit: int = TRAIN_DOCUMENTS) -> Model:
     """Model from docs (doc_id, text) and labels (doc_id, toxic), held-out ids left out."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
@@ -246,20 +281,11 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, limit: int = TRA
 
     schema = "word binary, " + ", ".join(f"{n} long" for n in names)
     counted = sample.select("toxic", "part", "text").mapInArrow(count, schema).groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
-    counted = counted.where(sum(F.col(n) for n in names) >= LEAST_DOCUMENTS)
-    table = counted.orderBy("word").toArrow()
-    words = table["word"].to_pylist()
-    n = np.array([table[c].to_numpy() for c in names], dtype=float).reshape(2, PARTS, len(words))
-
-    def without(part: int | None) -> Model:
-        ordinary, toxic = n.sum(axis=1) - (0 if part is None else n[:, part])
-        some = np.flatnonzero(toxic + ordinary)
-        return train([words[i] for i in some], toxic[some], ordinary[some], order)
+    parts, whole = _trained(cut(counted), order)
 
     # the curve is set by documents that the model of their part hasn't seen
-    seen = _evidence(sample.select("doc_id", "part", "text"), [without(k) for k in range(PARTS)]).join(F.broadcast(taken), "doc_id").select("evidence", "toxic").toArrow()
+    seen = _evidence(sample.select("doc_id", "part", "text"), parts).join(F.broadcast(taken), "doc_id").select("evidence", "toxic").toArrow()
     x, y = seen["evidence"].to_numpy(), seen["toxic"].to_numpy(zero_copy_only=False).astype(float)
-    whole = without(None)
     if not 0 < y.sum() < len(y):
         curve = (0.0, float(np.log((prior + 1e-9) / (1 - prior + 1e-9))))
     else:
