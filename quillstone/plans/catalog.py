@@ -582,12 +582,12 @@ def stratified_p(t: Testbed) -> DataFrame:
 @query()
 def trend_curves(t: Testbed) -> DataFrame:
     ranked = stats.pct_rank(t.events, "rank", ["lineage"], "pct")
-    return trends.curves(ranked.select("lineage", "id", F.col("pct").alias("rank"), "gene", "value"), (4, 6, 8)).select("lineage", "gene", "level", "peak")
+    return trends.curves(ranked.select("lineage", "id", F.col("pct").alias("rank"), "gene", "value")).select("lineage", "gene", "level", "peak")
 
 
 @query()
 def shuffled_walks(t: Testbed) -> DataFrame:
-    return rounded(trends.shuffled_statistics(t.events, 5), "statistic")
+    return rounded(trends.shuffled_statistics(t.events), "statistic")
 
 
 # --- doublets, simplification, whole analyses -------------------------------------------------------
@@ -613,12 +613,12 @@ def doublet_calls(t: Testbed) -> DataFrame:
 
 @query()
 def doublet_neighbourhoods(t: Testbed) -> DataFrame:
-    return rounded(doublets.neighbourhoods(t.rows.select("id", "z"), 30, 10), "pann")
+    return rounded(doublets.neighbourhoods(t.rows.select("id", "z")), "pann")
 
 
 @query()
 def doublet_co_expression(t: Testbed) -> DataFrame:
-    return rounded(doublets.co_expression(t.coarse, t.cells, 20), "cxds")
+    return rounded(doublets.co_expression(t.coarse, t.cells), "cxds")
 
 
 @query()
