@@ -1,17 +1,21 @@
 """Toxicity scores from class-conditional Kneser-Ney models.
 
-A word is a run of letters, A-Z lower-cased, spelt in bytes between a start and an end mark;
-a document is the set of its words, so that a repeated line doesn't outvote the rest.
-Each class has a Kneser-Ney model of the next byte given up to ORDER - 1 before it in the
-word: absolute discounts on the class's own counts, and the mass they free, with that of
-STRENGTH further tokens, goes to a model of the counts of both classes together, which in
-turn backs off to shorter contexts by continuation counts. So an expression that training
-saw rarely, or never, is smoothed by shared counts, alike in both classes.
-
-A word's evidence is the logarithm of its likelihood under the toxic model over that under
-the ordinary one, as far as it exceeds ZONE: smaller ratios, such as those of a language that
-happens to be commoner in one class, count as equal. A document's score is the sum over its
-words by hundred words, its logarithm through a logistic curve.
+An expression is a run of letters, A-Z lower-cased, spelt in bytes between a start and an
+end mark; a run of over PIECE bytes, as in scripts without spaces, is read in pieces of as
+many. Each class has a Kneser-Ney model of the next byte given up to ORDER - 1 before it in
+the expression: absolute discounts on the class's own counts, and the mass they free, with
+that of STRENGTH further tokens, goes to a model of the counts of both classes together,
+which in turn backs off to shorter contexts by continuation counts. So an expression that
+training saw rarely, or never, is smoothed by shared counts, alike in both classes.
+
+Most of a toxic document is ordinary text. So the toxic class writes a share, SHARE, of its
+expressions by the toxic model and the rest by the ordinary one, the ordinary class all by
+the ordinary model. Both likelihoods are of the whole text, each expression as often as it
+stands there. A document's evidence is the logarithm of the one over the other, divided by
+the number of expressions: every ordinary expression speaks for the ordinary class, by at
+most -log(1 - SHARE), and what languages or subjects differ in by chance between the classes
+adds up to little. The score is a logistic curve of the evidence, on a scale that is linear
+near its least value and logarithmic above.
 
 What the two models differ in is two tables: for every n-gram seen, and for every context
 seen with a byte that wasn't, the logarithm of the ratio; all else is zero, since the
@@ -20,14 +24,14 @@ shared part cancels. These tables are broadcast.
 Training reads labelled rows that are not held out. It takes at most TRAIN_DOCUMENTS rows
 of each class, those with the smallest hashed ids, so the tables are bounded.
 The curve is fitted across PARTS parts of them, each scored by a model of the others, and
-weighted to the classes' true shares; the final model has them all. Words are counted by
-the executors, and one task of theirs trains the models; all documents are scored whole.
+weighted to the classes' true shares; the final model has them all. Expressions are counted
+by the executors, and one task of theirs trains the models; all documents are scored whole.
 
-Defined results: null and empty texts and texts without letters have a ratio of zero; null
+Defined results: null and empty texts and texts without letters have evidence zero; null
 labels are ignored; of a doc_id with several labels the largest counts; without training
 rows of both classes every score is about the share of toxic ones; repeated rows are
-scored each; a null doc_id is held out (null counts as remainder 0); an empty table gives
-no rows; other columns are never read.
+scored each; a null doc_id is held out (null counts as remainder 0); a text of any length is
+read whole, a batch at a time; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -48,15 +52,17 @@ ORDER = 9
 DISCOUNT = 0.75
 #: Tokens that the shared model counts for in each context of a class.
 STRENGTH = 8.0
-#: A word's logarithm of the ratio speaks from here on; below, the classes count as equal.
-ZONE = 1.2
+#: Of a toxic document's expressions, those that the toxic model writes.
+SHARE = 0.01
+#: Bytes of an expression at most.
+PIECE = 64
 TRAIN_DOCUMENTS = 4000
 #: Parts of the training rows that the curve is fitted across.
 PARTS = 3
 FOLDS = 5
 #: Parts of the n-grams that are counted one after another, to hold less at once.
 BLOCKS = 16
-#: Distinct words that a task remembers; beyond it the memory starts anew.
+#: Distinct expressions that a task remembers; beyond it the memory starts anew.
 WORDS_HELD = 500_000
 START, STOP = 1, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -64,8 +70,12 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def words_of(text: bytes) -> set[bytes]:
-    return set(text.translate(_LETTERS).split())
+def words_of(text: bytes) -> list[bytes]:
+    """The expressions of a text, in order."""
+    found = text.translate(_LETTERS).split()
+    if found and len(max(found, key=len)) > PIECE:
+        found = [w[i : i + PIECE] for w in found for i in range(0, len(w), PIECE)]
+    return found
 
 
 def fold(doc_id: Column) -> Column:
@@ -125,7 +135,7 @@ def _mixed(gram: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Logarithms of ratios by n-gram and by context, and the curve (a, b) over a document's length-normalised sum."""
+    """Logarithms of ratios by n-gram and by context, and the curve (a, b) over a document's evidence."""
 
     order: int
     grams: np.ndarray
@@ -135,7 +145,7 @@ class Model:
     curve: tuple[float, float] = (1.0, 0.0)
 
     def ratios(self, words: list[bytes]) -> np.ndarray:
-        """The logarithm of the ratio of each word, as far as it is above the zone."""
+        """The logarithm of each word's likelihood under the toxic model over that under the ordinary one."""
         if not words or not len(self.grams):
             return np.zeros(len(words))
         joined, place, number = _spelt(words)
@@ -149,7 +159,16 @@ class Model:
         rest = np.flatnonzero(~known)
         j = np.minimum(np.searchsorted(self.contexts, context[rest]), len(self.contexts) - 1)
         value[rest] = np.where(self.contexts[j] == context[rest], self.context_ratio[j], 0.0)
-        return np.maximum(np.bincount(number, weights=value, minlength=len(words)) - ZONE, 0)
+        return np.bincount(number, weights=value, minlength=len(words))
+
+    def evidence(self, words: list[bytes]) -> np.ndarray:
+        """The logarithm of each word's likelihood in a toxic document over that in an ordinary one."""
+        return np.log1p(SHARE * np.expm1(np.minimum(self.ratios(words), 500.0)))
+
+
+def scaled(evidence: np.ndarray) -> np.ndarray:
+    """Evidence on the curve's scale: it rises with it, by ever less where a few words decide."""
+    return np.log1p(np.maximum(evidence / -np.log1p(-SHARE) + 1, 0))
 
 
 def _tally(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -317,14 +336,15 @@ def _weighed(batches: Iterator[pa.RecordBatch], models: list[Model], text: int,
             known, words = memory[k], words_of(t.as_py() or b"")
             if not words:
                 continue
-            if missing := words.difference(known):
+            distinct = set(words)
+            if missing := distinct.difference(known):
                 if len(known) + len(missing) > WORDS_HELD:
                     known.clear()
-                    missing = words
+                    missing = distinct
                 new = list(missing)
-                known.update(zip(new, models[k].ratios(new).tolist(), strict=True))
-            out[i] = np.log1p(100 * sum(map(known.__getitem__, words)) / len(words))
-        yield b, out
+                known.update(zip(new, models[k].evidence(new).tolist(), strict=True))
+            out[i] = sum(map(known.__getitem__, words)) / len(words)
+        yield b, scaled(out)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
