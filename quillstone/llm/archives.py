@@ -61,7 +61,10 @@ def sha1(data: bytes) -> str:
 
 
 class Member:
-    """Writes a file of gzip members, one per record, under a name of this attempt until it is finished."""
+    """Writes a file of gzip members, one per record, under a name of this attempt until it is finished.
+
+    A record is held whole, so the largest one must fit in a task's memory.
+    """
 
     def __init__(self, uri: str, name: str):
         self.system, folder = opened(uri)
@@ -247,7 +250,8 @@ def convert(arcs: DataFrame, uri: str, min_revisit_bytes: int = MIN_REVISIT_BYTE
     kept = F.when(~mine, F.col("kept"))
     plan = found.select("path", "nth", kept["key"].alias("key"), kept["uri"].alias("uri"), kept["date"].alias("date"), kept["id"].alias("id")).where("id is not null")
     # every file has a row, so that files without revisits are written as well
-    plan = plan.unionByName(arcs.select("path", F.lit(0).alias("nth")), allowMissingColumns=True).repartition("path").sortWithinPartitions("path", "nth")
+    # with their number given, Spark does not put the partitions together: as many tasks as archives
+    plan = plan.unionByName(arcs.select("path", F.lit(0).alias("nth")), allowMissingColumns=True).repartition(max(1, arcs.count()), "path").sortWithinPartitions("path", "nth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, revisits, written = None, {}, []
