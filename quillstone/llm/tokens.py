@@ -48,13 +48,17 @@ _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 def check_splits(tokenizer_json: str) -> bool:
-    """Whether ids of a text are the ids of its words (runs without ASCII white space) in order."""
+    """Whether ids of a text are the ids of its lower-cased words (runs without ASCII white space) in order.
+
+    Encoder lower-cases words before it looks them up and takes only words with `<|` for ones that may
+    hold an added token, so a tokenizer that keeps case or has other added tokens encodes whole texts.
+    """
     j = json.loads(tokenizer_json)
     steps = (j.get("normalizer") or {}).get("normalizers", [])
-    plain = all(s["type"] in ("NFC", "Lowercase") or s == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} for s in steps)
+    plain = any(s["type"] == "Lowercase" for s in steps) and all(s["type"] in ("NFC", "Lowercase") or s == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} for s in steps)
     pre = (j.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
     cuts = pre.get("type") == "Split" and pre.get("pattern") == {"Regex": _SPLIT} and pre.get("behavior") == "Removed" and pre.get("invert")
-    added = all(not (set(a["content"]) & set(" \t\n\r\x0b\x0c")) and not a["lstrip"] and not a["rstrip"] and not a["single_word"] for a in j.get("added_tokens", []))
+    added = all("<|" in a["content"] and not (set(a["content"]) & set(" \t\n\r\x0b\x0c")) and not a["lstrip"] and not a["rstrip"] and not a["single_word"] for a in j.get("added_tokens", []))
     return bool(plain and cuts and added and not j.get("post_processor") and not j.get("truncation") and not j.get("padding"))
 
 
