@@ -37,7 +37,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.render_pages(table(spark, sf_dir, "pages"))
+    return render.render_pages(table(spark, sf_dir, "pages"), status=True)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

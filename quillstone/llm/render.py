@@ -12,16 +12,19 @@ by attribute or by a simple selector (tag, .class, #id) of a style element, and
 details but for its summary. Without scripts, noscript is shown.
 
 Layout: white space collapses except in pre; blocks start lines, paragraphs and the like keep a
-blank line; lists have marks, numbers and indents; the cells of a table are padded to columns,
-cells of several lines as well.
+blank line; lists have marks, numbers and indents; the cells of a table stand in a grid, with
+row and column spans, and are padded to columns, cells of several lines as well.
 
 Defined results: null and empty html give an empty text; broken markup gives what a lenient
-reader sees; repeated rows are rendered each; an empty table gives no rows; other columns are ignored.
+reader sees; a span that is no number counts as 1; a page that can't be laid out gives its plain
+text and is marked as degraded; a page of any length is laid out whole, in the memory of one task;
+repeated rows are rendered each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -30,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 200
+#: What a cell spans at most; blanks between columns are GAP.
+MAX_COLUMNS, MAX_ROWS, GAP = 1000, 65534, 2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp".split())
 #: Never shown.
@@ -314,11 +319,46 @@ class Renderer:
                 out.put([mark + rows[0], *(" " * len(mark) + x if x else x for x in rows[1:])])
 
     def table(self, n: Node, seen: bool) -> list[str]:
-        rows: list[list[tuple[list[str], int]]] = []
+        """Lines of a table: cells stand in a grid, where a cell may span rows and columns."""
+        cells: list[tuple[int, int, int, int, list[str]]] = []  # row, column, rows, columns, lines
         before: list[str] = []
+        until: dict[int, int] = {}  # by column: the row before which a cell from above ends
+        row, at, group = -1, 0, 0
+
+        def cell(lines: list[str], high: int, wide: int) -> None:
+            nonlocal at
+            # browsers let a wide cell run over one that spans rows from above; here it goes to the next room
+            while taken := [k for k in range(at, at + wide) if until.get(k, 0) > row]:
+                at = taken[-1] + 1
+            cells.append((row, at, high, wide, lines))
+            until.update(dict.fromkeys(range(at, at + wide), row + high))
+            at += wide
+
+        def span(c: Node, name: str, most: int) -> int:
+            m = re.match(r"[ \t\n\r\f]*\+?([0-9]{1,9})", c.get(name) or "", re.A)
+            return min(int(m[1]), most) if m else 1
+
+        def take(c: Node | str, seen: bool) -> None:
+            if isinstance(c, str):
+                if seen and c.strip():
+                    cell([_SPACE.sub(" ", unescape(c)).strip()], 1, 1)
+            elif c.tag in ("td", "th"):
+                if (now := self.shown(c, seen)) is not None:
+                    high = span(c, "rowspan", MAX_ROWS) or MAX_ROWS  # 0: to the end of its group
+                    cell(self.lines(c, now, False), high, max(span(c, "colspan", MAX_COLUMNS), 1))
+            elif text := self.lines_of(c, seen):
+                cell(text, 1, 1)
+
+        def ended() -> None:
+            """No cell reaches beyond its group of rows."""
+            nonlocal group
+            cells[group:] = [(top, k, min(high, row + 1 - top), wide, lines) for top, k, high, wide, lines in cells[group:]]
+            group = len(cells)
+            until.clear()
 
         def walk(parent: Node, seen: bool) -> None:
-            loose = None
+            nonlocal row, at
+            loose = False
             for c in parent.children:
                 if isinstance(c, str):
                     if seen and c.strip():
@@ -327,55 +367,45 @@ class Renderer:
                 if (now := self.shown(c, seen)) is None:
                     continue
                 if c.tag in ("tbody", "thead", "tfoot"):
+                    ended()
                     walk(c, now)
+                    ended()
                 elif c.tag == "caption":
                     before.extend(self.lines(c, now, False))
                 elif c.tag == "tr":
-                    rows.append([])
-                    cells(c, now, rows[-1])
+                    row, at, loose = row + 1, 0, False
+                    for x in c.children:
+                        take(x, now)
                 elif c.tag in ("td", "th"):
-                    if loose is None:
-                        loose = []
-                        rows.append(loose)
-                    cell(c, now, loose)
+                    if not loose:
+                        row, at, loose = row + 1, 0, True
+                    take(c, seen)
                 else:
                     before.extend(self.lines_of(c, seen))
 
-        def cells(tr: Node, seen: bool, row: list) -> None:
-            for c in tr.children:
-                if isinstance(c, str):
-                    if seen and c.strip():
-                        row.append(([_SPACE.sub(" ", unescape(c)).strip()], 1))
-                elif c.tag in ("td", "th"):
-                    if (now := self.shown(c, seen)) is not None:
-                        cell(c, now, row)
-                elif text := self.lines_of(c, seen):
-                    row.append((text, 1))
-
-        def cell(c: Node, seen: bool, row: list) -> None:
-            span = c.get("colspan")
-            row.append((self.lines(c, seen, False), min(int(span), 1000) if span and span.strip().isdigit() else 1))
-
         walk(n, seen)
-        width: dict[int, int] = {}
-        for row in rows:
-            at = 0
-            for text, span in row:
-                if span == 1:
-                    width[at] = max(width.get(at, 0), max(map(len, text), default=0))
-                at += max(span, 1)
-        out = before
-        for row in rows:
-            high = max((len(text) for text, _ in row), default=0)
-            for k in range(high):
-                line, at = [], 0
-                for text, span in row:
-                    span = max(span, 1)
-                    room = sum(width.get(i, 0) + 2 for i in range(at, at + span)) - 2
-                    line.append((text[k] if k < len(text) else "").ljust(room))
-                    at += span
-                out.append("  ".join(line).rstrip())
-        return out
+        ended()
+        columns = sorted({at for _, at, *_ in cells})  # where a cell starts
+        place = {at: k for k, at in enumerate(columns)}
+        width, height = [0] * len(columns), [0] * (row + 1)
+        for _, at, _, wide, lines in sorted(cells, key=lambda c: c[3]):  # narrow cells first; wide ones widen their last column
+            end = bisect_left(columns, at + wide)
+            room = sum(width[place[at] : end]) + GAP * (end - place[at] - 1)
+            width[end - 1] += max(max(map(len, lines), default=0) - room, 0)
+        for top, _, high, _, lines in sorted(cells, key=lambda c: c[2]):
+            height[top] = max(height[top], min(len(lines), 1))
+            height[top + high - 1] += max(len(lines) - sum(height[top : top + high]), 0)
+        left, first = [0], [0]
+        for w in width:
+            left.append(left[-1] + w + GAP)
+        for h in height:
+            first.append(first[-1] + h)
+        out = [""] * first[-1]
+        for top, at, _, _, lines in sorted(cells, key=lambda c: c[1]):
+            for k, line in enumerate(lines, first[top]):
+                if line:
+                    out[k] = out[k].ljust(left[place[at]]) + line
+        return before + [x.rstrip() for x in out]
 
     def lines_of(self, n: Node, seen: bool) -> list[str]:
         out = Lines()
@@ -391,11 +421,28 @@ def render(html: str | None) -> str:
     return "\n".join(Renderer(hiding(styles)).lines(root, True, False))
 
 
-def render_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, text) for every row of pages (page_id, html)."""
+def plain(html: str) -> str:
+    """The text of a page without its tags, line by line: what is left of a page that can't be laid out."""
+    return "\n".join(x for line in unescape(_TAG.sub(" ", html)).splitlines() if (x := _SPACE.sub(" ", line).strip()))
+
+
+def rendered(html: str | None) -> tuple[str, bool]:
+    """The text of a page, and whether it is only its plain text: one bad page must not stop a corpus."""
+    try:
+        return render(html), False
+    except Exception:
+        return plain(html or ""), True
+
+
+def render_pages(pages: DataFrame, status: bool = False) -> DataFrame:
+    """(page_id, text) for every row of pages (page_id, html); with status, also degraded: the page could not be laid out."""
+    names = ["page_id", "text", "degraded"][: 3 if status else 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([render(x.as_py()) for x in b.column(1)], pa.string())], ["page_id", "text"])
+            found = [rendered(x.as_py()) for x in b.column(1)]
+            columns = [b.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([d for _, d in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
 
-    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, text string")
+    schema = "page_id long, text string" + (", degraded boolean" if status else "")
+    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string").alias("html")).mapInArrow(run, schema)
