@@ -6,15 +6,22 @@ ASCII white space, shingles are three words joined by one space, repeats include
 shingle is hashed with XXH64 (seed 42); a bit of the fingerprint is 1 if it is set
 in over half of the hashes.
 
-Join: fingerprints that differ in at most three bits are linked. Of two such
-fingerprints, one of the four 16-bit quarters is equal and the other quarter of the
-same half differs in at most one bit. So the fingerprints are dealt out by each
-quarter in turn (the first 16 levels of a trie whose budget there is zero), and each
-task walks pairs of trie nodes together, bit by bit: it adds up differing bits and
-drops a pair of nodes once it has over one bit in the half or over three in all.
-No link is lost, and no task sees more than a share of the fingerprints: a trie node
-with many fingerprints is cut into chunks, and every two chunks meet in a task of
-their own. A task returns a spanning forest of the links it has found, not the links.
+Join: fingerprints that differ in at most three bits are linked. Of two such fingerprints,
+some 16-bit quarter is equal and the next one, cyclically, differs in at most one bit: if
+each equal quarter were followed by one with two bits or more, one equal quarter would
+leave 2 + 1 + 1 bits in the others, and two would leave 2 + 2. So the fingerprints are
+turned by each quarter in turn and put in a trie, whose first 16 levels have a budget of
+no bit, the next 16 of one, the rest of three in all. Pairs of its nodes are walked together,
+bit by bit; differing bits are added up, and a pair of nodes is dropped once it exceeds
+the budget.
+
+The top of the walk is made of joins: a node of the first 16 levels is one task's, unless it
+has over NODE_ROWS fingerprints. Such a crowded pair of nodes is taken STEP levels down:
+of its two nodes' children, those pairs go on that keep within the budget (of 256 children,
+9 partners each with one bit left), until a pair is small enough for a task. So a
+fingerprint is copied by the budget's number of partners, not by how many rows its node has.
+The rest of the walk is within tasks, over all their pairs at once. A task returns a
+spanning forest of the links it has found, not the links.
 
 Groups: alternating large-star and small-star steps over those forests, with a
 checkpoint after each; no component is gathered anywhere.
@@ -32,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.shared import cut, fresh
@@ -40,8 +47,12 @@ from quillstone.llm.shared import cut, fresh
 BITS, QUARTER, SEED = 64, 16, 42
 SHINGLE_WORDS = 3
 MAX_BITS = 3
-#: Fingerprints of one trie node that a task takes at most; a larger node is cut into chunks.
+#: Fingerprints of one pair of trie nodes that a task takes at most; a larger pair is split.
 NODE_ROWS = 2048
+#: Levels by which it is split.
+STEP = 8
+#: Edges of one node that a join may deal to one task; larger nodes, at most 2 x HUB_ROWS of them, are joined by broadcast.
+HUB_ROWS = 10_000
 #: Hashes that are turned into bits at once.
 _BLOCK = 1 << 15
 
@@ -100,17 +111,19 @@ def _budget(depth: int, max_bits: int) -> int:
     return 0 if depth <= QUARTER else max_bits // 2 if depth <= 2 * QUARTER else max_bits
 
 
-def trie_links(codes: np.ndarray, starts: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(codes: np.ndarray, starts: np.ndarray, max_bits: int = MAX_BITS, splits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions of linked codes within each group; codes: ascending and distinct in each group, which start at `starts`.
 
-    All groups are walked at once: a node is a range of positions, a pair of nodes two
-    ranges and the bits in which their prefixes differ.
+    A group is one node, paired with itself, or two, of which the second starts at `splits`
+    (a group's start means one node). All groups are walked at once: a node is a range of
+    positions, a pair of nodes two ranges and the bits in which their prefixes differ.
     """
     lo = np.asarray(starts, dtype=np.int64)
     hi = np.append(lo[1:], len(codes)).astype(np.int64)
+    mid = lo if splits is None else np.asarray(splits, dtype=np.int64)
     keep = hi - lo > 1
-    a0, a1 = lo[keep], hi[keep]
-    b0, b1, bits = a0, a1, np.zeros(int(keep.sum()), dtype=np.int8)
+    lo, mid, hi = lo[keep], mid[keep], hi[keep]
+    a0, a1, b0, b1, bits = lo, np.where(mid > lo, mid, hi), mid, hi, np.zeros(len(lo), dtype=np.int8)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
 
@@ -157,29 +170,66 @@ def trie_links(codes: np.ndarray, starts: np.ndarray, max_bits: int = MAX_BITS)
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _prefix(depth: int) -> Column:
+    return F.shiftrightunsigned("code", BITS - depth)
+
+
+def deal(distinct: DataFrame, max_bits: int = MAX_BITS, node_rows: int = NODE_ROWS) -> DataFrame:
+    """(by, depth, a, b, code, fp) of distinct fingerprints (fp): the members of each pair of nodes (a, b) that one task walks.
+
+    code: the fingerprint turned left by `by` bits; a, b: its first `depth` bits.
+    """
+    turn = F.expr("shiftleft(fp, by) | if(by = 0, 0L, shiftrightunsigned(fp, 64 - by))")
+    turns = distinct.select("fp", F.explode(F.array(*[F.lit(q * QUARTER) for q in range(BITS // QUARTER)])).alias("by")).withColumn("code", turn)
+    at = turns.withColumn("p", _prefix(QUARTER))
+    crowded = cut(at.groupBy("by", "p").count().where(F.col("count") > node_rows).select("by", F.col("p").alias("a"), F.col("p").alias("b"), F.lit(0).alias("used")))
+    whole = lambda df, depth: df.select("by", F.lit(depth).alias("depth"), "a", "b", "code", "fp")
+    if crowded.isEmpty():
+        return whole(at.withColumns({"a": F.col("p"), "b": F.col("p")}), QUARTER)
+    nodes = crowded.select("by", F.col("a").alias("p"))
+    out = whole(at.join(nodes, ["by", "p"], "left_anti").withColumns({"a": F.col("p"), "b": F.col("p")}), QUARTER)
+    live = cut(at.join(nodes, ["by", "p"], "left_semi").select("by", "code", "fp"))
+    low = (1 << STEP) - 1
+    for depth in range(QUARTER + STEP, BITS + 1, STEP):
+        kids = cut(live.groupBy("by", _prefix(depth).alias("kid")).agg(F.count("*").alias("n")).withColumn("parent", F.shiftrightunsigned("kid", STEP)))
+        left = crowded.join(kids.select("by", F.col("parent").alias("a"), F.col("kid").alias("x"), F.col("n").alias("nx")), ["by", "a"])
+        partners = F.array()
+        for more in range(max_bits + 1):
+            masks = F.array(*[F.lit(m).cast("long") for m in range(low + 1) if m.bit_count() <= more])
+            partners = F.when(F.lit(_budget(depth, max_bits)) - F.col("used") == more, masks).otherwise(partners)
+        left = left.withColumn("mask", F.explode(partners))
+        left = left.withColumn("y", F.shiftleft("b", STEP).bitwiseOR(F.col("x").bitwiseAND(F.lit(low)).bitwiseXOR(F.col("mask"))))
+        pairs = left.join(kids.select("by", F.col("kid").alias("y"), F.col("n").alias("ny")), ["by", "y"]).where("a != b or x <= y")
+        rows = F.when(F.col("x") == F.col("y"), F.col("nx")).otherwise(F.col("nx") + F.col("ny"))
+        pairs = cut(pairs.where(rows > 1).select("by", F.col("x").alias("a"), F.col("y").alias("b"), (F.col("used") + F.bit_count("mask")).cast("int").alias("used"), rows.alias("rows")))
+        small = pairs.where((F.col("rows") <= node_rows) | F.lit(depth == BITS))
+        ends = F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("p")
+        out = out.unionByName(whole(live.withColumn("p", _prefix(depth)).join(small.select("by", "a", "b", ends), ["by", "p"]), depth))
+        crowded = pairs.where(F.col("rows") > node_rows).select("by", "a", "b", "used")
+        if depth == BITS or crowded.isEmpty():
+            return out
+        live = cut(live.withColumn("p", _prefix(depth)).join(crowded.select("by", ends).distinct(), ["by", "p"], "left_semi").select("by", "code", "fp"))
+    return out
+
+
 def forests(distinct: DataFrame, max_bits: int = MAX_BITS, node_rows: int = NODE_ROWS) -> DataFrame:
     """(u, v) with u < v: for distinct fingerprints (fp), forests whose components are those of all links."""
     if not 0 <= max_bits <= 3:
         raise ValueError("max_bits must be 0 to 3: above that, no quarter need be equal")
-    turns = distinct.select(
-        "fp",
-        F.explode(F.array(*[F.lit(q * QUARTER) for q in range(BITS // QUARTER)])).alias("by"),
-    ).select("fp", "by", F.expr("cast(shiftrightunsigned(shiftleft(fp, by), 48) as int)").alias("node"))
-    large = turns.groupBy("by", "node").count().where(F.col("count") > node_rows).select("by", "node", F.ceil(F.col("count") / node_rows).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    dealt = (
-        turns.join(large, ["by", "node"], "left")
-        .withColumn("own", F.coalesce(own, F.lit(0)))
-        .select("fp", "by", "node", "own", F.explode(F.expr("if(chunks is null, array(0), filter(sequence(0, chunks - 1), x -> x != own))")).alias("other"))
-        .select("fp", "by", "node", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"))
-        .withColumn("code", F.expr("shiftleft(fp, by) | if(by = 0, 0L, shiftrightunsigned(fp, 64 - by))"))
-        .withColumn("code", F.expr("code ^ (-9223372036854775807L - 1L)"))  # signed order is then unsigned order
-    )
-    dealt = dealt.repartition("by", "node", "c", "d").sortWithinPartitions("by", "node", "c", "d", "code")
+    keys = ("by", "depth", "a", "b")
+    dealt = deal(distinct, max_bits, node_rows).withColumn("code", F.expr("code ^ (-9223372036854775807L - 1L)"))  # signed order is then unsigned order
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "code")
 
     def linked(keys: np.ndarray, code: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-        a, b = trie_links(code, starts, max_bits)
+        depth = keys[:, 1].astype(np.uint64)
+        first = code[np.repeat(starts, np.diff(np.append(starts, len(code))))]
+        other = np.flatnonzero((code ^ first) >> (np.uint64(BITS) - depth))  # the second node's rows
+        splits = starts.copy()
+        group = np.searchsorted(starts, other, side="right") - 1
+        group, at = np.unique(group, return_index=True)
+        splits[group] = other[at]
+        a, b = trie_links(code, starts, max_bits, splits)
         label = _components(len(code), a, b)
         member = np.flatnonzero(label != np.arange(len(code)))
         x, y = fp[label[member]], fp[member]
@@ -188,7 +238,7 @@ def forests(distinct: DataFrame, max_bits: int = MAX_BITS, node_rows: int = NODE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
             code = batch.column(4).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
             held.append((keys, code, batch.column(5).to_numpy()))
             keys, code, fp = (np.concatenate([h[i] for h in held]) for i in range(3))
@@ -199,7 +249,7 @@ def forests(distinct: DataFrame, max_bits: int = MAX_BITS, node_rows: int = NODE
         if held:
             yield linked(*held[0])
 
-    return dealt.select("by", "node", "c", "d", "code", "fp").mapInArrow(run, "u long, v long").distinct()
+    return dealt.select(*keys, "code", "fp").mapInArrow(run, "u long, v long").distinct()
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -208,14 +258,20 @@ def stars(edges: DataFrame) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def with_least(edges: DataFrame, by: str, least: Column) -> DataFrame:
+        """edges with m, the least of their node `by`; the root of a large component is no hot key of the join."""
+        low = cut(edges.groupBy(by).agg(least.alias("m"), F.count("*").alias("n")))
+        hubs = F.broadcast(low.where(F.col("n") > hub).drop("n"))
+        few = edges.join(hubs.select(by), by, "left_anti").join(low.where(F.col("n") <= hub).drop("n"), by)
+        return few.unionByName(edges.join(hubs, by))
+
     edges = cut(edges.where("u < v"))
     now = state(edges)
     while now[0]:
+        hub = max(HUB_ROWS, 2 * now[0] // HUB_ROWS)  # so there are at most 2 x HUB_ROWS hubs
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.explode(F.array("u", "v")).alias("w"), "m").where("w > m").select(F.col("m").alias("u"), F.col("w").alias("v")).distinct()
+        large = cut(with_least(both, "u", F.least(F.min("v"), F.first("u"))).where("v > u").select(F.col("m").alias("u"), "v").distinct())
+        small = with_least(large, "v", F.min("u")).select(F.explode(F.array("u", "v")).alias("w"), "m").where("w > m").select(F.col("m").alias("u"), F.col("w").alias("v")).distinct()
         edges, before = cut(small), now
         now = state(edges)
         if now == before:
