@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm.chat import BUDGET, HISTORY, TURN_TOKENS
+from quillstone.llm.chat import BUDGET, HISTORY, TOKEN, TURN_TOKENS
 from quillstone.llm.licenses import KNOWN, SPELLINGS
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,31 +55,34 @@ SELECT p.page_id, strlen(html)::BIGINT AS payload_bytes, payload_digest,
 FROM p JOIN b USING (page_id)
 """
 
-_WORDS = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
+_TOKENS = f"len(regexp_extract_all(text, '{TOKEN}'))"
 
 
 def _escaped(text: str) -> str:
     return rf"regexp_replace(replace({text}, '\', '\\'), '([<\[])(\|(?:im_start|im_sep|im_end|endoftext)\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2', 'g')"
 
 
-_STRETCH = BUDGET * 3 // 8
 _MARKS = len("<|im_start|><|im_sep|><|im_end|>")
 _OP10 = f"""
 WITH c AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
 ),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, {_WORDS} + {TURN_TOKENS} AS tokens,
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, {_TOKENS} + {TURN_TOKENS} AS tokens,
       length({_escaped("role")}) + length({_escaped("text")}) + {_MARKS} AS chars FROM c),
-s AS (SELECT *, pos = 1 AND lower(role) = 'system' AS sys FROM r),
-t AS (SELECT *, coalesce(sum(CASE WHEN sys THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-      NOT sys AND tokens > {_STRETCH} AS long FROM s),
-u AS (SELECT *, coalesce(NOT lag(sys) OVER o AND (start // {_STRETCH} != lag(start // {_STRETCH}) OVER o OR long OR lag(long) OVER o), false)::INT AS opens
-      FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
-v AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY pos) AS win, max(CASE WHEN sys THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_tokens FROM u),
-w AS (SELECT *, max(win) OVER (PARTITION BY conv_id) AS last, row_number() OVER e AS nth, sum(tokens) OVER e AS from_end
+q AS (SELECT *, pos = 1 AND lower(role) = 'system' AS sys, max(CASE WHEN pos = 1 AND lower(role) = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_tokens FROM r),
+s AS (SELECT *, sys_tokens > {BUDGET // 2} AS alone, {BUDGET} - CASE WHEN sys_tokens > {BUDGET // 2} THEN 0 ELSE sys_tokens END AS room FROM q),
+t AS (SELECT *, greatest(room * 3 // 8, 1) AS stretch, NOT sys AND tokens > greatest(room * 3 // 8, 1) AS long,
+      coalesce(sum(CASE WHEN sys THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s),
+u AS (SELECT *, coalesce(CASE WHEN lag(sys) OVER o THEN alone OR tokens > room ELSE lag(start // stretch) OVER o != start // stretch OR long OR lag(long) OVER o END, false)::INT AS opens,
+      room - CASE WHEN lead(long) OVER o THEN lead(tokens) OVER o ELSE 0 END AS room_next FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
+v AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY pos) AS win FROM u),
+w AS (SELECT *, max(win) OVER (PARTITION BY conv_id) AS last, row_number() OVER e AS nth, sum(tokens) OVER e AS from_end, first(room_next) OVER e AS room_left
       FROM v WINDOW e AS (PARTITION BY conv_id, win ORDER BY pos DESC)),
-x AS (SELECT *, chars * CASE WHEN sys THEN 1 + last WHEN nth <= {HISTORY} AND from_end <= {BUDGET // 4} - sys_tokens AND win < last THEN 2 ELSE 1 END AS written FROM w)
+-- each turn once, the system turn again in windows that have room for it, the last turns again in the next window
+f AS (SELECT conv_id, count(DISTINCT win) FILTER (tokens > room AND win > 0) AS without FROM w WHERE NOT sys GROUP BY conv_id),
+x AS (SELECT w.*, chars * CASE WHEN sys THEN 1 + CASE WHEN alone THEN 0 ELSE last - coalesce(without, 0) END
+        WHEN nth <= {HISTORY} AND from_end <= least(room // 4, room_left) AND win < last THEN 2 ELSE 1 END AS written FROM w LEFT JOIN f USING (conv_id))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (lower(role) = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (lower(role) = 'assistant'), '')) AS loss_sha256,
