@@ -10,10 +10,14 @@ in one home folder:
    up each task's rows by key before it deals them out, so a text that a third of all
    rows share costs one row per task. Every batch writes the keys that it changed.
 
-A later call with new files under the same path goes on from the state.
+A later call with new files under the same path goes on from the state. Each stream takes
+FILES_PER_BATCH files at a time, so a lost run goes on with the batch that it was in. The
+number of the state's partitions is spark.sql.shuffle.partitions when a home is first used;
+it stays with the home, so set it for the rows that are to come.
 
 Full bytes: for every group of two rows or more, the texts are fetched by locator and each
-member is compared, byte by byte, with the row that stays. Members that differ (two texts
+member is compared, byte by byte, with the row that stays. That row's text goes to a task for
+every HIT_ROWS members, so no task has all copies of one text. Members that differ (two texts
 of one digest) are then grouped by their whole texts, so that a collision costs time and
 never a document.
 
@@ -25,8 +29,9 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +46,10 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: Files that a batch of either stream takes.
+FILES_PER_BATCH = 2000
+#: Members of a group that one task compares with the row that stays.
+HIT_ROWS = 256
 LOG = "doc_id long, path string, row long, sha binary, bytes long"
 
 
@@ -73,20 +82,30 @@ def _settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def ingest(spark: SparkSession, path: str, home: str, digest_bytes: int = 32) -> None:
-    """Brings log and state in home up to date with the Parquet files at path."""
-    # a stream reads folders: a single file is the one of its name in its folder
-    file = spark._jvm.org.apache.hadoop.fs.Path(path)
-    status = file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file)
-    docs = spark.readStream.schema(spark.read.parquet(path).schema)
-    docs = docs.option("pathGlobFilter", file.getName()).parquet(file.getParent().toString()) if status.isFile() else docs.parquet(path)
+def _folder(spark: SparkSession, path: str) -> tuple[str, str | None]:
+    """The folder that a stream reads, and the name in it if path is a single file."""
+    one = spark.read.parquet(path).select("_metadata.file_path").first()[0]
+    bare = lambda uri: unquote(urlparse(uri).path).rstrip("/")
+    return path.rstrip("/").rsplit("/", 1) if bare(one) == bare(path) else (path, None)
+
+
+def _written(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes a batch in a folder of its own; a batch that is run again replaces what it left."""
+    return lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+
+def ingest(spark: SparkSession, path: str, home: str, digest_bytes: int = 32, files_per_batch: int = FILES_PER_BATCH) -> None:
+    """Brings log and state in home up to date with the Parquet files at path, of which there is at least one row."""
+    folder, name = _folder(spark, path)
+    docs = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    docs = docs.option("pathGlobFilter", name).parquet(folder) if name else docs.parquet(folder)
     log = digests(docs).writeStream.format("parquet").option("checkpointLocation", f"{home}/log-progress").trigger(availableNow=True)
     log.start(f"{home}/log").awaitTermination()
-    rows = spark.readStream.schema(LOG).parquet(f"{home}/log")
+    rows = spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).parquet(f"{home}/log")
     held = rows.groupBy(F.substring("sha", 1, digest_bytes).alias("digest"), "bytes").agg(F.max(F.struct("doc_id", "path", "row")).alias("keep"), F.count("*").alias("n"))
     with _settings(spark, STATE):
         state = held.writeStream.outputMode("update").option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
-        state.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{home}/groups/batch={n}")).start().awaitTermination()
+        state.foreachBatch(_written(f"{home}/groups")).start().awaitTermination()
 
 
 def groups(spark: SparkSession, home: str) -> DataFrame:
@@ -95,13 +114,13 @@ def groups(spark: SparkSession, home: str) -> DataFrame:
     return spark.read.schema(schema + ", batch long").parquet(f"{home}/groups").groupBy("digest", "bytes").agg(F.max("keep").alias("keep"), F.max("n").alias("n"))
 
 
-def deduplicate(spark: SparkSession, path: str, home: str | None = None, digest_bytes: int = 32) -> DataFrame:
+def deduplicate(spark: SparkSession, path: str, home: str | None = None, digest_bytes: int = 32, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256, path, row) for every document at path."""
     home = home or work_dir(spark, "exact-dedup")
     empty = spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string, path string, row long")
     if spark.read.parquet(path).select("doc_id").isEmpty():
         return empty
-    ingest(spark, path, home, digest_bytes)
+    ingest(spark, path, home, digest_bytes, files_per_batch)
     log = spark.read.schema(LOG).parquet(f"{home}/log").withColumn("digest", F.substring("sha", 1, digest_bytes))
     # cut, so that the join is of two plain exchanges, of which Spark can split a hot digest's
     held = log.join(cut(groups(spark, home)), ["digest", "bytes"])
@@ -111,13 +130,15 @@ def deduplicate(spark: SparkSession, path: str, home: str | None = None, digest_
     )
 
     # full bytes of every hit against the row that stays
-    members = held.where("n > 1").select("path", "row", "digest", "bytes", is_keep().alias("kept"))
+    salts = F.ceil(F.col("n") / HIT_ROWS).cast("int")
+    members = held.where("n > 1").select("path", "row", "digest", "bytes", is_keep().alias("kept"), salts.alias("salts"))
     docs = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"), "text")
-    texts = docs.join(members, ["path", "row"]).select("digest", "bytes", "kept", "path", "row", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.join(members, ["path", "row"]).select("digest", "bytes", "kept", "salts", "path", "row", F.coalesce("text", F.lit("")).alias("text"))
     texts = cut(texts)
-    stays = texts.where("kept").select("digest", "bytes", F.col("text").alias("stays"))
+    stays = texts.where("kept").select("digest", "bytes", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("stays"))
+    others = texts.where("not kept").select("digest", "bytes", F.pmod(F.xxhash64("path", "row"), F.col("salts")).cast("int").alias("salt"), "text")
     same = F.when(F.col("text") == F.col("stays"), True).otherwise(normalised(F.col("text")) == normalised(F.col("stays")))
-    differ = cut(texts.where("not kept").join(stays, ["digest", "bytes"]).where(~same).select("digest", "bytes").distinct())
+    differ = cut(cut(others.join(stays, ["digest", "bytes", "salt"]).where(~same).select("digest", "bytes")).distinct())
     if differ.isEmpty():
         return out.drop("digest", "bytes")
     # texts that share a digest: grouped by their whole texts
