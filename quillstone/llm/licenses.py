@@ -1,6 +1,6 @@
 """License scan by canonical digests. DataFrame operations only.
 
-Canonical form of a text: lower case; copyright lines and lines of rights reserved go,
+Canonical form of a text: lower case; copyright lines and the reserving of all rights go,
 as do list marks; equivalent spellings become one; all that is not a letter or digit
 becomes one space. Its SHA-256 is hash-joined with the digests of known licence texts:
 a match is a licence text, whole and alone, whatever its layout and holder.
@@ -8,13 +8,13 @@ a match is a licence text, whole and alone, whatever its layout and holder.
 The same look-up is made for single lines that speak of a licence, against known
 one-line notices; the text's own digest decides `license_id`, its lines `notice_ids`.
 
-The known texts are a small table, KNOWN by default, canonicalised by the same
+The known texts and digests are a small table, that of `license_texts` by default, canonicalised by the same
 expression; the join broadcasts them only while they are at most BROADCAST_ROWS.
 
 Defined results: null and empty texts, and texts without a letter or digit, have the
-digest of the empty string and no licence; repeated rows and ids are kept as rows;
-notices of one doc_id are put together; an empty table gives no rows; other columns are
-ignored.
+digest of the empty string and no licence; texts of any length are read whole; repeated
+rows and ids are kept as rows, and each has the notices of all rows of its doc_id; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.license_texts import KNOWN, KNOWN_DIGESTS
+from quillstone.llm.shared import ASCII_SPACE
+
 BROADCAST_ROWS = 100_000
 #: Spellings that licence matching treats as equal, each with the one that is kept.
 SPELLINGS = (
@@ -33,43 +36,21 @@ SPELLINGS = (
     ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
     ("noncommercial", "non commercial"), ("sublicence", "sublicense"), ("merchantibility", "merchantability"),
 )
-_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-"""
-_ZERO = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
-
-"""
-_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
-
-Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
-
-1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
-2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
-3. This notice may not be removed or altered from any source distribution."""
-#: Known texts as (license id, whole text).
-KNOWN = (
-    ("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT),
-    ("ISC", _ISC + _AS_IS), ("ISC", "ISC License\n\n" + _ISC + _AS_IS), ("0BSD", _ZERO + _AS_IS), ("Zlib", _ZLIB), ("Zlib", "zlib License\n\n" + _ZLIB),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
-)
 #: Lines that may be a notice.
 SPEAKS = r"(?i)licen[cs]e|spdx"
-COPYRIGHT = r"(?m)^[^\p{L}\n]*(?:copyright|\(c\)|©|all rights reserved).*$"
-LIST_MARK = r"(?m)^[ \t]*(?:[-*•]|\(?[0-9a-z][.)])[ \t]+"
+#: A line that states a copyright: by a year or a sign, or in a few words that are a paragraph. Other lines may begin with the word where a text was wrapped.
+COPYRIGHT = r"(?m)^[^\p{L}\n]*(?:©|(?:copyright|\(c\))[^\n]*(?:\(c\)|©|\b(?:19|20)[0-9][0-9]\b))[^\n]*$"
+COPYRIGHT_PARAGRAPH = r"(?:\A|\n[ \t]*\n)[^\p{L}\n]*copyright(?:[ \t]+[^\x20\x09-\x0D]+){1,8}[ \t]*(?:\n[ \t]*\n|\n?\z)"
+RESERVED = rf"all[{ASCII_SPACE}]+rights[{ASCII_SPACE}]+reserved"
+LIST_MARK = r" \(?(?:[0-9][0-9]?|[a-z])[.)] "
 
 
 def canonical(text: Column) -> Column:
+    """The canonical form; but for copyright lines it doesn't depend on line breaks."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(F.regexp_replace(t, COPYRIGHT, " "), LIST_MARK, " ")
+    for pattern in (COPYRIGHT, COPYRIGHT_PARAGRAPH, RESERVED):
+        t = F.regexp_replace(t, pattern, "\n\n")
+    t = F.regexp_replace(F.regexp_replace(F.concat(F.lit(" "), t, F.lit(" ")), f"[{ASCII_SPACE}]+", "  "), LIST_MARK, " ")
     t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     spelt = t
     for other, kept in SPELLINGS:
@@ -82,17 +63,19 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(known: DataFrame) -> DataFrame:
-    """(digest, license) of known texts (license, text); of two licences with one text the first by name."""
-    found = known.select("license", digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
-    return F.broadcast(found) if known.count() <= BROADCAST_ROWS else found
+def known_digests(known: DataFrame, digests: DataFrame | None = None) -> DataFrame:
+    """(digest, license) of known texts (license, text) and digests (license, digest); of two licences with one text the first by name."""
+    found = known.select("license", digest(F.col("text")).alias("digest"))
+    found = found.unionByName(digests) if digests else found
+    rows = found.count()
+    found = found.groupBy("digest").agg(F.min("license").alias("license"))
+    return F.broadcast(found) if rows <= BROADCAST_ROWS else found
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text_digest, license_id, notice_ids) for every row of docs (doc_id, text)."""
-    if known is None:
-        known = docs.sparkSession.createDataFrame(KNOWN, "license string, text string")
-    table = known_digests(known)
+    """(doc_id, text_digest, license_id, notice_ids) for every row of docs (doc_id, text), by known texts (license, text) or those of license_texts."""
+    make = docs.sparkSession.createDataFrame
+    table = known_digests(known) if known is not None else known_digests(make(KNOWN, "license string, text string"), make(KNOWN_DIGESTS, "license string, digest string"))
     rows = docs.select("doc_id", digest(F.col("text")).alias("digest")).join(table, "digest", "left")
     rows = rows.select("doc_id", F.col("digest").alias("text_digest"), F.col("license").alias("license_id"))
     lines = docs.where(F.col("text").rlike(SPEAKS)).select("doc_id", F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(SPEAKS))).alias("line"))

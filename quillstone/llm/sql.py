@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from quillstone.llm.chat import BUDGET, HISTORY, TOKEN, TURN_TOKENS
-from quillstone.llm.licenses import KNOWN, SPELLINGS
+from quillstone.llm.license_texts import KNOWN, KNOWN_DIGESTS
+from quillstone.llm.licenses import SPELLINGS
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -15,8 +16,10 @@ def _quoted(text: str) -> str:
 def _canonical(text: str) -> str:
     """The canonical form of a licence text, as an expression."""
     t = f"lower(coalesce({text}, ''))"
-    t = rf"regexp_replace({t}, '(?m)^[^\p{{L}}\n]*(?:copyright|\(c\)|©|all rights reserved).*$', ' ', 'g')"
-    t = rf"regexp_replace({t}, '(?m)^[ \t]*(?:[-*•]|\(?[0-9a-z][.)])[ \t]+', ' ', 'g')"
+    t = rf"regexp_replace({t}, '(?m)^[^\p{{L}}\n]*(?:©|(?:copyright|\(c\))[^\n]*(?:\(c\)|©|\b(?:19|20)[0-9][0-9]\b))[^\n]*$', chr(10) || chr(10), 'g')"
+    t = rf"regexp_replace({t}, '(?:\A|\n[ \t]*\n)[^\p{{L}}\n]*copyright(?:[ \t]+[^\x20\x09-\x0D]+){{1,8}}[ \t]*(?:\n[ \t]*\n|\n?\z)', chr(10) || chr(10), 'g')"
+    t = rf"regexp_replace({t}, 'all[\x20\x09-\x0D]+rights[\x20\x09-\x0D]+reserved', ' ', 'g')"
+    t = rf"regexp_replace(regexp_replace(' ' || {t} || ' ', '[\x20\x09-\x0D]+', '  ', 'g'), ' \(?(?:[0-9][0-9]?|[a-z])[.)] ', ' ', 'g')"
     t = rf"' ' || regexp_replace({t}, '[^\p{{L}}\p{{N}}]+', '  ', 'g') || ' '"
     for other, kept in SPELLINGS:
         t = f"replace({t}, ' {other} ', ' {kept} ')"
@@ -25,7 +28,8 @@ def _canonical(text: str) -> str:
 
 _OP1 = f"""
 WITH known AS (SELECT * FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in KNOWN)}) AS v(license, text)),
-digests AS (SELECT sha256({_canonical("text")}) AS digest, min(license) AS license FROM known GROUP BY 1),
+long AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{d}')" for k, d in KNOWN_DIGESTS)}) AS v(license, digest)),
+digests AS (SELECT digest, min(license) AS license FROM (SELECT license, sha256({_canonical("text")}) AS digest FROM known UNION ALL SELECT license, digest FROM long) GROUP BY 1),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 notices AS (
     SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notice_ids
