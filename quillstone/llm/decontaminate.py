@@ -1,8 +1,9 @@
 """Benchmark decontamination by templates. DataFrame operations only.
 
-Canonical form: names (a capitalised word inside a sentence), numbers, and units after a
-number become typed placeholders, which keep the value that stood there; all else is
-lower-cased and freed of punctuation. A template window is eight tokens, of which a
+Canonical form: names (capitalised words, at the start of a sentence as well unless they are
+among STARTERS), numbers in digits or words, and units after a number become typed
+placeholders, which keep the value that stood there; all else is lower-cased and freed of
+punctuation. A template window is eight tokens, of which a
 placeholder counts by its type alone. Template windows of the benchmark with fewer than
 four plain words are left out, since they would fit anything. Exact windows are eight tokens
 whose values all count, be they placeholders or not; none is left out. So a copy is found
@@ -12,7 +13,8 @@ Windows are hashed by doubling (pairs, fours, eights of hashed tokens) and hash-
 with those of the benchmark. Matches at one offset form an alignment. Its slots must be
 consistent: each value of the item stands for one value of the document and the reverse,
 so that a re-parameterised question (other names, other numbers, the same everywhere) is
-caught and a chance meeting of templates isn't. A document is contaminated by an item if
+caught and a chance meeting of templates isn't. Each alignment is checked alone: together, a
+chance alignment of an item that resembles itself would speak against a true one. A document is contaminated by an item if
 consistent alignments cover at least `coverage` of the item's template windows by either kind
 of match, or as much of all its windows, or if one of them
 runs over at least `run` tokens without a gap, however long the item is.
@@ -23,8 +25,10 @@ BROADCAST_ROWS; beyond that the join shuffles.
 Defined results: null text counts as empty and matches nothing; an item of under eight
 tokens is one window, which only a document of the same few tokens matches; an item that
 stands in a document many times counts each of its windows once; repeated rows of one
-doc_id are one document, repeated rows of an item are one item, and of several texts of one
-item_id the one that is covered best counts; empty tables give no rows; other columns are ignored.
+doc_id, or of none, are one document (drop_contaminated judges each row by its own text),
+repeated rows of an item are one item, and of several texts of one item_id the one that is
+covered best counts; texts of any length are read whole; empty tables give no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,18 +54,29 @@ UNITS = (
     "degrees degree celsius fahrenheit kelvin joules joule watts watt volts volt newtons newton pascals pascal hz khz mhz ghz kb mb gb tb mph kmh"
 ).split()
 
+#: Words that begin a sentence with a capital without being names.
+STARTERS = (
+    "A After All Although An And Any Are As Assume At Because Before Both But By Calculate Can Compute Consider Could Describe Determine Did Do Does During Each Either "
+    "Every Explain Find For From Give Given Had Has Have He Her Here His How However I If In Is It Its Let Many May Might Most My Neither No Not Now Of On Once One Or "
+    "Our Prove Put She Should Show Since So Solve Some Such Suppose That The Their Then There These They This Those Though Thus To Under Until Up Use Was We Were What When "
+    "Where Which While Who Whose Why Will With Without Would Write Yet You Your"
+).split()
+#: Numbers in words.
+NUMERALS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
+
 
 def canonical(rows: DataFrame, text: str = "text") -> DataFrame:
     """Adds toks, the tokens of a text; a placeholder is its mark and the value that stood there.
 
     In steps, a column each: an expression that is used twice would be computed twice.
     """
-    rows = rows.withColumn("_t", F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\p{Lu}(?<=[\p{Ll}\p{N},;:] \p{Lu})\p{Ll}\p{L}*", NAME + "$0"))
+    rows = rows.withColumn("_t", F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\p{Lu}(?<![\p{L}\p{M}\p{N}]\p{Lu})\p{Ll}\p{L}*", NAME + "$0"))
+    rows = rows.withColumn("_t", F.regexp_replace("_t", rf"{NAME}({'|'.join(STARTERS)})(?!\p{{L}})", "$1"))
     other = rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}]"
     rows = rows.withColumn("_t", F.regexp_replace("_t", rf"{other}+(?!\p{{N}})|(?<!\p{{N}}){other}+", " "))
-    numbers = F.regexp_replace("_t", r"\p{N}+(?:[.,:/]\p{N}+)*", f" {NUMBER}$0 ")
-    numbers = F.regexp_replace(numbers, rf"(?i)({NUMBER}\S+ +)({'|'.join(UNITS)})(?=\s|$)", f"$1{UNIT}$2")
-    rows = rows.withColumn("_t", F.lower(F.when(F.col("_t").rlike(r"\p{N}"), numbers).otherwise(F.col("_t"))))
+    word = rf"(?<![\p{{L}}\p{{M}}{NAME}])(?:{'|'.join(NUMERALS)})(?![\p{{L}}\p{{M}}])"
+    numbers = F.regexp_replace(F.regexp_replace("_t", rf"\p{{N}}+(?:[.,:/]\p{{N}}+)*|{word}", f" {NUMBER}$0 "), rf"(?i)({NUMBER}\S+ +)({'|'.join(UNITS)})(?=\s|$)", f"$1{UNIT}$2")
+    rows = rows.withColumn("_t", F.lower(F.when(F.col("_t").rlike(rf"\p{{N}}|{word}"), numbers).otherwise(F.col("_t"))))
     return rows.withColumn("toks", F.array_remove(F.split("_t", " +"), "")).drop("_t")
 
 
@@ -99,21 +114,21 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, plain_words: i
     return join_null_safe(rows, total, ["item_id", "item_key"]).select("hash", "item_id", "item_key", "item_pos", "item_toks", "plain", "item_windows", "all_windows")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, plain_words: int = PLAIN_WORDS) -> DataFrame:
-    """(doc_id, item_id, n_windows, item_windows, n_run, n_slots, n_changed) for every pair that shares consistent windows; n_run: the most in a row.
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, plain_words: int = PLAIN_WORDS, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*ids, item_id, n_windows, item_windows, n_run, n_slots, n_changed) for every pair that shares consistent windows; n_run: the most in a row.
 
-    The windows are counted among the item's template windows or all its windows, whichever are covered better.
+    ids: what tells documents apart, doc_id or also doc_hash, the hash of the text. The windows are counted among the item's template windows or all its windows, whichever are covered better.
     """
     items = cut(benchmark_windows(benchmark, window, plain_words))
     items = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
-    found = template_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window=window)
+    found = template_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_hash"), "text"), window=window)
     # template windows, then the exact ones that differ from them
     found = found.withColumn("hashes", F.expr("concat(windows, zip_with(windows, exact, (w, e) -> if(w = e, null, e)))"))
-    found = found.select("doc_id", "toks", F.size("windows").alias("n"), F.posexplode_outer("hashes").alias("pos", "hash")).join(items, "hash").withColumn("pos", F.expr("pos % n"))
+    found = found.select(*ids, "toks", F.size("windows").alias("n"), F.posexplode_outer("hashes").alias("pos", "hash")).join(items, "hash").withColumn("pos", F.expr("pos % n"))
     # a slot's value is compared without the marks, as an exact copy may lack them
     value = lambda t: f"if({t} < '\\u0004', substr({t}, 2), {t})"
     slots = F.expr(f"filter(zip_with(item_toks, slice(toks, pos + 1, {window}), (i, d) -> struct(i, if({value('i')} = {value('d')}, i, d) as d)), s -> s.i < '\\u0004')")
-    keys = ["doc_id", "item_id", "item_key", "item_windows", "all_windows"]
+    keys = [*ids, "item_id", "item_key", "item_windows", "all_windows"]
     found = found.select(*keys, (F.col("pos") - F.col("item_pos")).alias("offset"), "item_pos", "plain", slots.alias("slots"))
     aligned = found.groupBy(*keys, "offset").agg(
         F.collect_set("item_pos").alias("at"), F.collect_set(F.when(F.col("plain"), F.col("item_pos"))).alias("plain_at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
@@ -131,7 +146,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, plain_w
     by_plain = F.expr("item_windows > 0 and n_plain * all_windows >= n_all * item_windows")
     by_text = by_text.withColumn("n_windows", F.when(by_plain, F.col("n_plain")).otherwise(F.col("n_all"))).withColumn("item_windows", F.when(by_plain, F.col("item_windows")).otherwise(F.col("all_windows")))
     best = F.max_by(F.struct("n_windows", "item_windows", "n_slots", "n_changed"), F.struct(F.col("n_windows") / F.col("item_windows"), "n_windows", "item_key"))
-    return by_text.groupBy("doc_id", "item_id").agg(best.alias("of"), F.max("n_run").alias("n_run")).select("doc_id", "item_id", "of.n_windows", "of.item_windows", "n_run", "of.n_slots", "of.n_changed")
+    return by_text.groupBy(*ids, "item_id").agg(best.alias("of"), F.max("n_run").alias("n_run")).select(*ids, "item_id", "of.n_windows", "of.item_windows", "n_run", "of.n_slots", "of.n_changed")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN_TOKENS, window: int = WINDOW, **options) -> DataFrame:
@@ -141,8 +156,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that any benchmark item contaminates."""
-    key = fresh(docs, "bad_id")
-    bad = cut(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(key)).distinct())
+    """docs without the rows whose texts any benchmark item contaminates; other rows of their ids, or of none, stay."""
+    key, tie = fresh(docs, "bad_id"), fresh(docs, "bad_hash")
+    bad = contaminated(docs, benchmark, ids=("doc_id", "doc_hash"), **options)
+    bad = cut(bad.select(F.col("doc_id").alias(key), F.col("doc_hash").alias(tie)).distinct())
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(tie)), "left_anti")
