@@ -260,7 +260,10 @@ def stars(edges: DataFrame) -> DataFrame:
 
     def with_least(edges: DataFrame, by: str, least: Column) -> DataFrame:
         """edges with m, the least of their node `by`; the root of a large component is no hot key of the join."""
-        low = cut(edges.groupBy(by).agg(least.alias("m"), F.count("*").alias("n")))
+        low = edges.groupBy(by).agg(least.alias("m"), F.count("*").alias("n"))
+        if now[0] <= hub:  # no node can have more edges
+            return edges.join(low.drop("n"), by)
+        low = cut(low)
         hubs = F.broadcast(low.where(F.col("n") > hub).drop("n"))
         few = edges.join(hubs.select(by), by, "left_anti").join(low.where(F.col("n") <= hub).drop("n"), by)
         return few.unionByName(edges.join(hubs, by))
@@ -268,7 +271,7 @@ def stars(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("u < v"))
     now = state(edges)
     while now[0]:
-        hub = max(HUB_ROWS, 2 * now[0] // HUB_ROWS)  # so there are at most 2 x HUB_ROWS hubs
+        hub = max(HUB_ROWS, 2 * now[0] // HUB_ROWS)  # so there are at most 2 x HUB_ROWS hubs, as both has 2 x now[0] rows
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = cut(with_least(both, "u", F.least(F.min("v"), F.first("u"))).where("v > u").select(F.col("m").alias("u"), "v").distinct())
         small = with_least(large, "v", F.min("u")).select(F.explode(F.array("u", "v")).alias("w"), "m").where("w > m").select(F.col("m").alias("u"), F.col("w").alias("v")).distinct()

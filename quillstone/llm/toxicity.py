@@ -19,7 +19,8 @@ near its least value and logarithmic above.
 
 What the two models differ in is two tables: for every n-gram seen, and for every context
 seen with a byte that wasn't, the logarithm of the ratio; all else is zero, since the
-shared part cancels. These tables are broadcast.
+shared part cancels. These tables are a file in the shared folder, which each task reads;
+neither the driver nor an idle worker holds them.
 
 Training reads labelled rows that are not held out. It takes at most TRAIN_DOCUMENTS rows
 of each class, those with the smallest hashed ids, so the tables are bounded.
@@ -37,12 +38,13 @@ read whole, a batch at a time; an empty table gives no rows; other columns are n
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,6 +173,28 @@ def scaled(evidence: np.ndarray) -> np.ndarray:
     return np.log1p(np.maximum(evidence / -np.log1p(-SHARE) + 1, 0))
 
 
+_KINDS = {"grams": "<u8", "gram_ratio": "<f4", "contexts": "<u8", "context_ratio": "<f4"}
+
+
+@dataclass(frozen=True)
+class Stored:
+    """A model in a file of the shared folder."""
+
+    uri: str
+    part: int
+    order: int
+    curve: tuple[float, float] = (1.0, 0.0)
+
+    def load(self) -> Model:
+        system, path = opened(self.uri)
+        names = [x.path for x in system.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet")]
+        for name in names:
+            table = pq.read_table(name, filesystem=system, filters=[("part", "=", self.part)])
+            if table.num_rows:
+                return Model(self.order, *(np.frombuffer(table[a][0].as_buffer(), dtype=k) for a, k in _KINDS.items()), self.curve)
+        raise FileNotFoundError(f"{self.uri}: no model of part {self.part}")
+
+
 def _tally(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, the first place of each, the number of each key's key, and sums of the weights."""
     found, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
@@ -245,16 +269,13 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(a), float(b)
 
 
-def _trained(counted: DataFrame, order: int) -> tuple[list[Model], Model]:
-    """Models without each part, and of all parts, from (word, o0, .., t0, ..).
+def _trained(counted: DataFrame, order: int) -> list[Stored]:
+    """Models without each part, then that of all parts, from (word, o0, .., t0, ..).
 
     One task trains them one after another, so that neither the driver nor two tasks of one
     executor hold their arrays; the words are bounded by the rows that fit takes.
     """
     path = work_dir(counted.sparkSession, "toxicity")
-    arrays = ("grams", "gram_ratio", "contexts", "context_ratio")
-    kinds = dict(zip(arrays, ("<u8", "<f4", "<u8", "<f4"), strict=True))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = [], []
         for b in batches:
@@ -265,17 +286,14 @@ def _trained(counted: DataFrame, order: int) -> tuple[list[Model], Model]:
             ordinary, toxic = n.sum(axis=1) - (n[:, part] if part < PARTS else 0)
             some = np.flatnonzero(toxic + ordinary)
             model = train([words[i] for i in some], toxic[some], ordinary[some], order)
-            yield pa.RecordBatch.from_pydict({"part": [part]} | {a: [getattr(model, a).astype(kinds[a]).tobytes()] for a in arrays})
+            yield pa.RecordBatch.from_pydict({"part": [part]} | {a: [getattr(model, a).astype(k).tobytes()] for a, k in _KINDS.items()})
 
-    counted.coalesce(1).sortWithinPartitions("word").mapInArrow(run, "part long, " + ", ".join(f"{a} binary" for a in arrays)).write.parquet(path)
-    system, local = opened(path)
-    found: dict[int, Model] = {}
-    for row in pq.read_table(local, filesystem=system).to_batches(max_chunksize=1):
-        found[row["part"][0].as_py()] = Model(order, *(np.frombuffer(row[a][0].as_buffer(), dtype=kinds[a]) for a in arrays))
-    return [found[k] for k in range(PARTS)], found[PARTS]
+    schema = "part long, " + ", ".join(f"{a} binary" for a in _KINDS)
+    counted.coalesce(1).sortWithinPartitions("word").mapInArrow(run, schema).write.option("parquet.block.size", 1 << 20).parquet(path)
+    return [Stored(path, k, order) for k in range(PARTS + 1)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, limit: int = TRAIN_DOCUMENTS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, limit: int = TRAIN_DOCUMENTS) -> Stored:
     """Model from docs (doc_id, text) and labels (doc_id, toxic), held-out ids left out."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
     marked = marked.where(fold(F.col("doc_id")) != 0)
@@ -300,10 +318,11 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, limit: int = TRA
 
     schema = "word binary, " + ", ".join(f"{n} long" for n in names)
     counted = sample.select("toxic", "part", "text").mapInArrow(count, schema).groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
-    parts, whole = _trained(cut(counted), order)
+    *parts, whole = _trained(cut(counted), order)
 
     # the curve is set by documents that the model of their part hasn't seen
-    seen = _evidence(sample.select("doc_id", "part", "text"), parts).join(F.broadcast(taken), "doc_id").select("evidence", "toxic").toArrow()
+    by_part = sample.select("doc_id", "part", "text").repartition(4 * PARTS, "part").sortWithinPartitions("part")
+    seen = _evidence(by_part, parts).join(F.broadcast(taken), "doc_id").select("evidence", "toxic").toArrow()
     x, y = seen["evidence"].to_numpy(), seen["toxic"].to_numpy(zero_copy_only=False).astype(float)
     if not 0 < y.sum() < len(y):
         curve = (0.0, float(np.log((prior + 1e-9) / (1 - prior + 1e-9))))
@@ -315,39 +334,49 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, limit: int = TRA
 # --- scoring --------------------------------------------------------------------------------------
 
 
-def _evidence(docs: DataFrame, models: list[Model]) -> DataFrame:
+def _evidence(docs: DataFrame, models: Sequence[Model | Stored]) -> DataFrame:
     """(doc_id, evidence) of docs (doc_id, part, text as binary), each by the model of its part."""
-    held = docs.sparkSession.sparkContext.broadcast(models)
+    of = _sender(docs, models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, evidence in _weighed(batches, held.value, 2, 1):
+        for b, evidence in _weighed(batches, of, 2, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(evidence)], ["doc_id", "evidence"])
 
     return docs.mapInArrow(run, "doc_id long, evidence double")
 
 
-def _weighed(batches: Iterator[pa.RecordBatch], models: list[Model], text: int, part: int | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Each batch with the evidence of its rows; text, part: numbers of those columns."""
-    memory: list[dict[bytes, float]] = [{} for _ in models]
+def _sender(docs: DataFrame, models: Sequence[Model | Stored]) -> Callable[[int], Model]:
+    """What gives a task the model of a part: from its file, or by broadcast if it is in the driver's memory."""
+    if all(isinstance(m, Stored) for m in models):
+        return lambda part: models[part].load()
+    held = docs.sparkSession.sparkContext.broadcast(list(models))
+    return lambda part: held.value[part]
+
+
+def _weighed(batches: Iterator[pa.RecordBatch], of: Callable[[int], Model], text: int, part: int | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Each batch with the evidence of its rows; text, part: numbers of those columns. One model is held at a time."""
+    now, model, known = None, None, {}
     for b in batches:
         out = np.zeros(b.num_rows)
         parts = b.column(part).to_pylist() if part is not None else [0] * b.num_rows
         for i, (k, t) in enumerate(zip(parts, b.column(text).cast(pa.binary()), strict=True)):
-            known, words = memory[k], words_of(t.as_py() or b"")
+            words = words_of(t.as_py() or b"")
             if not words:
                 continue
+            if k != now:
+                now, model, known = k, of(k), {}
             distinct = set(words)
             if missing := distinct.difference(known):
                 if len(known) + len(missing) > WORDS_HELD:
                     known.clear()
                     missing = distinct
                 new = list(missing)
-                known.update(zip(new, models[k].evidence(new).tolist(), strict=True))
+                known.update(zip(new, model.evidence(new).tolist(), strict=True))
             out[i] = sum(map(known.__getitem__, words)) / len(words)
         yield b, scaled(out)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model | Stored) -> DataFrame:
     """(doc_id, score, predicted) for every row of docs (doc_id, text)."""
     a, b = model.curve
     found = _evidence(docs.select(F.col("doc_id").cast("long"), F.lit(0).alias("part"), F.col("text").cast("binary").alias("text")), [model])
@@ -360,12 +389,12 @@ def score_held_out(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return score(docs, fit(docs, labels, **options)).withColumn("held_out", fold(F.col("doc_id")) == 0)
 
 
-def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: Model | Stored) -> DataFrame:
     """docs, with all their columns, without the rows that the model predicts to be toxic."""
-    held, text, (a, b) = docs.sparkSession.sparkContext.broadcast([model]), docs.columns.index("text"), model.curve
+    of, text, (a, b) = _sender(docs, [model]), docs.columns.index("text"), model.curve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, evidence in _weighed(batches, held.value, text, None):
+        for batch, evidence in _weighed(batches, of, text, None):
             yield batch.filter(pa.array(a * evidence + b < 0))
 
     return docs.mapInArrow(run, docs.schema)
