@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.vectors import clip
+from quillstone.operators.lineage import running
+
+#: What keeps logarithms and quotients of the knee finite.
+TINY = 1e-10
 
 
 def qc_metrics(expr: DataFrame, cells: DataFrame, marked: Column, min_total: float = 500, min_genes: int = 200, max_marked_pct: float = 20.0) -> DataFrame:
@@ -89,26 +93,47 @@ def coverage(expr: DataFrame, genes: DataFrame, sample: int = 20) -> DataFrame:
 def knee(rows: DataFrame, column: str = "value") -> DataFrame:
     """One row: threshold by the largest distance to the chord of the descending curve above the median, in logarithms.
 
-    Under ten rows: 0; a variation under .1: just above the largest; a flat curve: Q3 + 1.5 IQR.
+    Under ten rows: 0; a mean above 0 and a variation under .1: just above the largest; fewer than ten
+    rows above the median: Q3 + 1.5 IQR. Of one value, the first and the last rank may be the farthest.
     """
     v = F.col(column).cast("double")
     stats = rows.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.max(v).alias("top"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    # the rank is cumulative counts of distinct values, which are summed up before they meet in one window
-    counts = rows.select(v.alias("v")).join(F.broadcast(stats.select(F.col("q")[1].alias("median")))).where("v > median and v > 0").groupBy("v").agg(F.count("*").alias("c"))
-    ranked = counts.withColumn("rank", F.sum("c").over(Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)))
-    xy = ranked.select("v", F.log10(F.coalesce("rank", F.lit(0)) + 1).alias("x"), F.log10("v").alias("y"))
-    ends = xy.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    scaled = xy.join(F.broadcast(ends)).where("x1 > x0 and y1 > y0").select("v", ((F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0"))).alias("x"), ((F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0"))).alias("y"))
-    far = scaled.agg(F.max(F.struct(F.round(F.abs(F.col("x") + F.col("y") - 1), 12).alias("d"), "v")).alias("far"))
+    above = rows.select(v.alias("v")).join(F.broadcast(stats.select(F.col("q")[1].alias("median")))).where("v > median").groupBy("v").agg(F.count("*").alias("c"))
+    ranked = running(above, [F.col("v").desc()], F.col("c"), "before")
+    ranked = ranked.withColumn("rank", F.explode(F.array(F.col("before") + 1, F.col("before") + F.col("c"))))
+    xy = ranked.select("v", "rank", F.log10("rank").alias("x"), F.log10(F.col("v") + TINY).alias("y"))
+    ends = xy.agg(F.max("x").alias("x1"), F.max("y").alias("y0"), F.min("y").alias("y1"), F.max("rank").alias("above"))
+    lx, ly = F.col("x") / (F.col("x1") + TINY), (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0") + TINY)
+    last_x, last_y = F.col("x1") / (F.col("x1") + TINY), (F.col("y1") - F.col("y0")) / (F.col("y1") - F.col("y0") + TINY)
+    distance = F.round(F.abs(last_y * lx - last_x * ly), 9)  # the curve starts at (0, 0)
+    far = xy.join(F.broadcast(ends)).where("above >= 10").agg(F.max(F.struct(distance.alias("d"), (-F.col("rank")).alias("first"), "v")).alias("far"))
     threshold = (
         F.when(F.col("n") < 10, 0.0)
-        .when((F.col("mean") != 0) & (F.col("sd") / F.abs("mean") < 0.1), F.col("top") + 1)
+        .when((F.col("mean") > 0) & (F.col("sd") / F.col("mean") < 0.1), F.col("top") + 1)
         .when(F.col("far").isNotNull(), F.col("far.v"))
         .otherwise(F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0]))
     )
     return stats.join(F.broadcast(far)).select(threshold.alias("threshold"))
 
 
+def low_quality(rows: DataFrame, column: str = "value", threshold: float | None = None) -> DataFrame:
+    """Adds is_low_quality: the value is above the threshold, that of `knee` if none is given."""
+    if threshold is not None:
+        return rows.withColumn("is_low_quality", F.col(column) > threshold)
+    return rows.join(F.broadcast(knee(rows, column))).withColumn("is_low_quality", F.col(column) > F.col("threshold")).drop("threshold")  # one row
+
+
+def entropy_threshold(rows: DataFrame, column: str = "entropy") -> float:
+    """Above it a row is uncertain: the upper of Otsu's cuts into three, of two if there is no third; under ten rows 0, under a deviation of .05 above all."""
+    v = F.col(column).cast("double")
+    n, sd, top = rows.agg(F.count(v), F.stddev_pop(v), F.max(v)).first()
+    if n < 10:
+        return 0.0
+    if sd < 0.05:
+        return float(top) + 1
+    return otsu(rows, column, 3)[-1]
+
+
 def otsu(rows: DataFrame, column: str = "value", classes: int = 3, bins: int = 256) -> list[float]:
     """Cuts between `classes` (2 or 3) by the largest variance between them, over a histogram of `bins`."""
     import numpy as np

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.operators.lineage import cut, running
+
+#: How identifiers are written.
 ID_PATTERN = r"^[A-Z]+:\d+$"
 NAMED_ID_PATTERN = r"\(([A-Z]+:\d+)\)$"
 
@@ -63,6 +66,7 @@ def roll_up_rare(rows: DataFrame, column: str = "label", pct: float = 1.0, most:
         raise ValueError("pct must be 0 to 100")
     if pct == 0:
         return rows.withColumn("bucket", F.col(column)).withColumn("is_bucketed", F.lit(False))
+    rows = cut(rows)  # read twice: for the counts and for the rows
     counts = rows.groupBy(column).agg(F.count("*").alias("_n"))
     limit = counts.agg(F.least(F.ceil(F.sum("_n") * pct / 100), F.lit(most)).alias("_limit"))
     few = counts.join(F.broadcast(limit)).select(F.col(column).alias("_label"), (F.col("_n") < F.col("_limit")).alias("is_bucketed"))
@@ -81,8 +85,8 @@ def fingerprint(ids: DataFrame, key: str, order: list[str], block: int = 100_000
     Of up to `block` ids it is the digest of the one block's digest.
     """
     named = F.concat(F.octet_length(F.col(key).cast("string")).cast("string"), F.lit(":"), F.col(key).cast("string"))
-    numbered = ids.select(named.alias("s"), F.row_number().over(Window.orderBy(*order)).alias("n"))
-    blocks = numbered.groupBy(F.floor((F.col("n") - 1) / block).alias("b")).agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("x"))
+    numbered = running(ids.select(named.alias("s"), *order), [F.col(c) for c in order], F.lit(1), "n")
+    blocks = numbered.groupBy(F.floor(F.col("n") / block).alias("b")).agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("x"))
     each = blocks.select("b", F.sha2(F.array_join(F.transform("x", lambda x: x.s), ""), 256).alias("d"))
     whole = each.agg(F.array_sort(F.collect_list(F.struct("b", "d"))).alias("x"))
     return whole.select(F.sha2(F.array_join(F.transform("x", lambda x: x.d), ""), 256).alias("fingerprint"))

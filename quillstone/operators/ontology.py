@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.lineage import cut
+
 DECAY = 0.8
 MOST_LEVELS = 100
 
@@ -135,21 +137,18 @@ def unrolled(edges: DataFrame, most_depth: int = 20) -> DataFrame:
     )
 
 
-def hop_distances(edges: DataFrame, most: int = 6) -> DataFrame:
-    """(a, b, hops) along edges in either direction, up to `most`."""
-    both = edges.select(F.col("child").alias("x"), F.col("parent").alias("y")).union(edges.select("parent", "child")).distinct()
-    return edges.sparkSession.sql(
-        f"""
-        WITH RECURSIVE way(a, b, hops) MAX RECURSION LEVEL {most + 1} AS (
-            SELECT node, node, 0 FROM {{nodes}}
-            UNION ALL
-            SELECT way.a, e.y, way.hops + 1 FROM way JOIN {{both}} e ON e.x = way.b WHERE way.hops < {most}
-        )
-        SELECT a, b, min(hops) AS hops FROM way GROUP BY a, b
-        """,
-        nodes=nodes(edges),
-        both=both,
-    )
+def hop_distances(edges: DataFrame) -> DataFrame:
+    """(a, b, hops) along edges in either direction, for all pairs with a way; a pair without one has no row.
+
+    One step for each hop of the longest way: the pairs that are new are those that go on.
+    """
+    both = cut(edges.select(F.col("child").alias("x"), F.col("parent").alias("y")).union(edges.select("parent", "child")).distinct())
+    new = found = cut(nodes(edges).select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("hops")))
+    while not new.isEmpty():
+        step = new.join(both, F.col("b") == F.col("x")).select("a", F.col("y").alias("b"), (F.col("hops") + 1).alias("hops")).distinct()
+        new = cut(step.join(found, ["a", "b"], "left_anti"))
+        found = found.unionByName(new)
+    return found
 
 
 def order_constraints(edges: DataFrame, occupied: DataFrame, develops: DataFrame | None = None, up: DataFrame | None = None) -> DataFrame:

@@ -152,12 +152,12 @@ def spearman_pairs(expr: DataFrame, genes: DataFrame, n_cells: int, least: float
 
 
 def over_representation(chosen: DataFrame, sets: DataFrame, population: int) -> DataFrame:
-    """(module, term, overlap, fold, p, q) of chosen (module, gene) against sets (term, gene): right tail; no overlap, no row."""
+    """(module, term, overlap, fold, p, q) of chosen (module, gene) against sets (term, gene): right tail, q within the module; no overlap, no row."""
     n = chosen.distinct().groupBy("module").agg(F.count("*").alias("n"))
     m = sets.distinct().groupBy("term").agg(F.count("*").alias("m"))
     a = chosen.distinct().join(sets.distinct(), "gene").groupBy("module", "term").agg(F.count("*").alias("overlap"))
     rows = a.join(n, "module").join(m, "term").withColumn("fold", F.col("overlap") / (F.col("n") * F.col("m") / population))
-    return rows.withColumn("p", hypergeometric_upper("overlap", F.lit(population), "m", "n"))
+    return bh(rows.withColumn("p", hypergeometric_upper("overlap", F.lit(population), "m", "n")), "p", ["module"])
 
 
 def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -152,10 +152,10 @@ def gene_reorder(t: Testbed) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT median(o_totalprice) AS m FROM orders), c AS (SELECT o_totalprice AS v, count(*) AS c FROM orders, m WHERE o_totalprice > m AND o_totalprice > 0 GROUP BY 1),
-    r AS (SELECT v, log10(coalesce(sum(c) OVER (ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1) AS x, log10(v) AS y FROM c),
-    e AS (SELECT v, round(abs((x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) + (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) - 1), 12) AS d FROM r)
-    SELECT v AS threshold FROM e ORDER BY d DESC, v DESC LIMIT 1"""
+    """WITH m AS (SELECT median(o_totalprice) AS m FROM orders), r AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice DESC) AS rank FROM orders, m WHERE o_totalprice > m),
+    e AS (SELECT v, rank, log10(rank) AS x, log10(v + 1e-10) AS y FROM r), n AS (SELECT max(x) AS x1, max(y) AS y0, min(y) AS y1 FROM e),
+    d AS (SELECT v, rank, round(abs((y1 - y0) / (y1 - y0 + 1e-10) * x / (x1 + 1e-10) - x1 / (x1 + 1e-10) * (y - y0) / (y1 - y0 + 1e-10)), 9) AS d FROM e, n)
+    SELECT v AS threshold FROM d ORDER BY d DESC, rank LIMIT 1"""
 )
 def knee_threshold(t: Testbed) -> DataFrame:
     return expression.knee(t.table("orders"), "o_totalprice")
@@ -213,7 +213,10 @@ def join_key_detection(t: Testbed) -> DataFrame:
     return labels.key_overlap(left, t.table("customer").where("c_custkey % 2 = 0"), ["c_custkey", "padded"], "c_custkey")
 
 
-@query()
+@query(
+    """WITH tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) AS r(i))
+    SELECT p_partkey, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(p_name, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c // 256, t[(xor(c % 256, b) + 1)::INT])), 4294967295) % 5 AS fold FROM part, tab"""
+)
 def crc_folds(t: Testbed) -> DataFrame:
     return t.table("part").select("p_partkey", labels.folds(F.col("p_name")).alias("fold"))
 
@@ -357,7 +360,7 @@ def tree_unroll(t: Testbed) -> DataFrame:
     return ontology.unrolled(t.edges)
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, {NODES}, both_of AS (SELECT child AS x, parent AS y FROM edges UNION SELECT parent, child FROM edges), way(a, b, hops) AS (SELECT node, node, 0 FROM nodes UNION SELECT a, y, hops + 1 FROM way JOIN both_of ON x = b WHERE hops < 6) SELECT a, b, min(hops) AS hops FROM way GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {EDGES_SQL}, {NODES}, both_of AS (SELECT child AS x, parent AS y FROM edges UNION SELECT parent, child FROM edges), way(a, b, hops) AS (SELECT node, node, 0 FROM nodes UNION SELECT a, y, hops + 1 FROM way JOIN both_of ON x = b WHERE hops < (SELECT count(*) FROM nodes)) SELECT a, b, min(hops) AS hops FROM way GROUP BY 1, 2")
 def hop_distance(t: Testbed) -> DataFrame:
     return ontology.hop_distances(t.edges)
 
@@ -413,12 +416,12 @@ def across_samples(t: Testbed) -> DataFrame:
 
 
 @query(
-    f"""WITH {COARSE}, n AS (SELECT count(*) AS n FROM orders), g AS (SELECT x.gene, o_orderkey AS cell, coalesce(value, 0) AS value FROM (SELECT DISTINCT gene FROM coarse WHERE gene < 6) x CROSS JOIN orders LEFT JOIN coarse ON coarse.gene = x.gene AND coarse.cell = o_orderkey"""
+    f"""WITH {COARSE}, n AS (SELECT count(*) AS n FROM orders), g AS (SELECT x.gene, o_orderkey AS cell, coalesce(value, 0) AS value FROM (SELECT DISTINCT gene FROM coarse) x CROSS JOIN orders LEFT JOIN coarse ON coarse.gene = x.gene AND coarse.cell = o_orderkey"""
     + """), r AS (SELECT gene, cell, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS r FROM g)
     SELECT a.gene AS a, b.gene AS b, round(corr(a.r, b.r), 6) AS rho FROM r a JOIN r b ON a.cell = b.cell AND a.gene < b.gene GROUP BY 1, 2 HAVING abs(corr(a.r, b.r)) >= 0.001"""
 )
 def spearman_edges(t: Testbed) -> DataFrame:
-    return rounded(stats.spearman_pairs(t.coarse, t.coarse.where("gene < 6"), t.cells.count(), 0.001), "rho")
+    return rounded(stats.spearman_pairs(t.coarse, t.coarse, t.cells.count(), 0.001), "rho")
 
 
 _HYPER = "exp(lgamma({m} + 1) - lgamma(x + 1) - lgamma({m} - x + 1) + lgamma({n} - {m} + 1) - lgamma({d} - x + 1) - lgamma({n} - {m} - {d} + x + 1) - lgamma({n} + 1) + lgamma({d} + 1) + lgamma({n} - {d} + 1))"
@@ -426,13 +429,14 @@ SETS = "chosen AS (SELECT DISTINCT p_brand AS module, p_partkey AS gene FROM par
 
 
 @query(
-    f"WITH {SETS}, pop AS (SELECT count(*) AS n FROM part), a AS (SELECT module, term, count(*) AS overlap FROM chosen JOIN sets USING (gene) GROUP BY 1, 2), d AS (SELECT module, count(*) AS d FROM chosen GROUP BY 1), m AS (SELECT term, count(*) AS m FROM sets GROUP BY 1), j AS (SELECT * FROM a JOIN d USING (module) JOIN m USING (term), pop), x AS (SELECT module, term, overlap, d, m, n, unnest(range(greatest(overlap, d + m - n), least(m, d) + 1)) AS x FROM j)"
-    + f" SELECT module, term, any_value(overlap) AS overlap, round(any_value(overlap / (d * m / n)), 6) AS fold, round(least(1, sum({_HYPER.format(m='m', n='n', d='d')})), 6) AS p FROM x GROUP BY 1, 2"
+    f"WITH {SETS}, pop AS (SELECT count(*) AS n FROM part), a AS (SELECT module, term, count(*) AS overlap FROM chosen JOIN sets USING (gene) GROUP BY 1, 2), d AS (SELECT module, count(*) AS d FROM chosen GROUP BY 1), m AS (SELECT term, count(*) AS m FROM sets GROUP BY 1), j AS (SELECT * FROM a JOIN d USING (module) JOIN m USING (term), pop), x AS (SELECT module, term, overlap, d, m, n, unnest(range(greatest(overlap, d + m - n), least(m, d) + 1)) AS x FROM j), y AS ("
+    + f" SELECT module, term, any_value(overlap) AS overlap, any_value(overlap / (d * m / n)) AS fold, least(1, sum({_HYPER.format(m='m', n='n', d='d')})) AS p FROM x GROUP BY 1, 2), r AS (SELECT *, count(*) OVER (PARTITION BY module) AS k, count(*) OVER (PARTITION BY module ORDER BY p) AS r FROM y)"
+    + " SELECT module, term, overlap, round(fold, 6) AS fold, round(p, 6) AS p, round(least(1, min(p * k / r) OVER (PARTITION BY module ORDER BY p DESC)), 6) AS q FROM r"
 )
 def set_over_representation(t: Testbed) -> DataFrame:
     part = t.table("part")
     rows = stats.over_representation(part.where("p_size <= 10").select(F.col("p_brand").alias("module"), F.col("p_partkey").alias("gene")), part.select(F.col("p_type").alias("term"), F.col("p_partkey").alias("gene")), part.count())
-    return rounded(rows.select("module", "term", "overlap", "fold", "p"), "fold", "p")
+    return rounded(rows.select("module", "term", "overlap", "fold", "p", "q"), "fold", "p", "q")
 
 
 @query()
