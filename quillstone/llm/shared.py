@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,15 +74,35 @@ def one_per_task(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(1, rows.count()))
 
 
+def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives freed memory back to the system at its end, as its Python worker lives on beside the next tasks."""
+
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder's URI or path, and the path in it."""
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(uri))
 
 
 def publish(system: fs.FileSystem, part: str, final: str) -> None:
-    """Puts a finished file in its place. A retried task replaces what an earlier attempt left."""
+    """Puts a finished file in its place. Attempts of a task write the same, so one that finds the place taken leaves it."""
+    if system.get_file_info(final).type == fs.FileType.File:
+        system.delete_file(part)
+        return
     try:
         system.move(part, final)
     except OSError:
-        system.delete_file(final)
-        system.move(part, final)
+        if system.get_file_info(final).type != fs.FileType.File:
+            raise
+        system.delete_file(part)

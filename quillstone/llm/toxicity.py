@@ -48,7 +48,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import cut, opened, work_dir
+from quillstone.llm.shared import cut, freeing, opened, work_dir
 
 ORDER = 9
 DISCOUNT = 0.75
@@ -92,8 +92,8 @@ def _spelt(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all words with their marks, the place of each in its word, and the number of its word."""
     joined = np.frombuffer(b"".join(b"\x01%b\x02" % w for w in words), dtype=np.uint8)
     sizes = np.fromiter((len(w) + 2 for w in words), dtype=np.int64, count=len(words))
-    starts = np.cumsum(sizes) - sizes
-    return joined, np.arange(len(joined)) - np.repeat(starts, sizes), np.repeat(np.arange(len(words)), sizes)
+    starts = (np.cumsum(sizes) - sizes).astype(np.int32)
+    return joined, np.arange(len(joined), dtype=np.int32) - np.repeat(starts, sizes), np.repeat(np.arange(len(words), dtype=np.int32), sizes)
 
 
 def _hashes(joined: np.ndarray, place: np.ndarray, order: int) -> Iterator[np.ndarray]:
@@ -108,7 +108,8 @@ def _hashes(joined: np.ndarray, place: np.ndarray, order: int) -> Iterator[np.nd
             back += np.uint64(257)
             back *= power
             back[place < k - 1] = 0
-            h = h + back
+            np.add(h, back, out=back)
+            h = back
         yield h
 
 
@@ -276,12 +277,14 @@ def _trained(counted: DataFrame, order: int) -> list[Stored]:
     executor hold their arrays; the words are bounded by the rows that fit takes.
     """
     path = work_dir(counted.sparkSession, "toxicity")
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = [], []
         for b in batches:
             words += b.column(0).to_pylist()
             counts.append(np.array([b.column(i + 1).to_numpy() for i in range(2 * PARTS)], dtype=float))
         n = np.concatenate([np.zeros((2 * PARTS, 0)), *counts], axis=1).reshape(2, PARTS, len(words))
+        counts.clear()
         for part in range(PARTS + 1):
             ordinary, toxic = n.sum(axis=1) - (n[:, part] if part < PARTS else 0)
             some = np.flatnonzero(toxic + ordinary)
@@ -306,6 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, limit: int = TRA
     sample = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(taken), "doc_id").select("doc_id", "toxic", "part", "text"))
     names = [f"{c}{k}" for c in "ot" for k in range(PARTS)]
 
+    @freeing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [Counter() for _ in names]
         for b in batches:
@@ -338,6 +342,7 @@ def _evidence(docs: DataFrame, models: Sequence[Model | Stored]) -> DataFrame:
     """(doc_id, evidence) of docs (doc_id, part, text as binary), each by the model of its part."""
     of = _sender(docs, models)
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, evidence in _weighed(batches, of, 2, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(evidence)], ["doc_id", "evidence"])
@@ -393,6 +398,7 @@ def drop_toxic(docs: DataFrame, model: Model | Stored) -> DataFrame:
     """docs, with all their columns, without the rows that the model predicts to be toxic."""
     of, text, (a, b) = _sender(docs, [model]), docs.columns.index("text"), model.curve
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, evidence in _weighed(batches, of, text, None):
             yield batch.filter(pa.array(a * evidence + b < 0))
