@@ -24,6 +24,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation of two vectors of one length; 0 where one is constant."""
+    centred = lambda x: F.transform(x, lambda e: e - total(x) / F.size(x))
+    return cosine(centred(a), centred(b))
+
+
 def distance(a: Column, b: Column) -> Column:
     return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))))
 

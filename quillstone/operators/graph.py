@@ -13,10 +13,10 @@ from quillstone.operators.lineage import cut
 BLOCK = 4096
 
 
-def nearest(queries: DataFrame, pool: DataFrame, k: int, with_self: bool = False, digits: int = 9, block: int = BLOCK) -> DataFrame:
-    """(src, dst, rank, sim): the k rows of pool with the largest cosine, rounded to `digits`, smaller id on ties.
+def nearest(queries: DataFrame, pool: DataFrame, k: int, with_self: bool = False, digits: int = 9, block: int = BLOCK, metric: str = "cosine") -> DataFrame:
+    """(src, dst, rank, sim): the k rows of pool with the largest cosine, or least distance (sim is minus that), rounded to `digits`, smaller id on ties.
 
-    Exact. Both sides are cut into blocks by hash; a task multiplies one block of queries by one
+    Exact, so every row of pool is compared with every query; `approximate` is for larger pools. Both sides are cut into blocks by hash; a task multiplies one block of queries by one
     of the pool and keeps k of each query, so what is dealt on is k rows per query and pool block.
     """
     blocks = lambda df: max(1, -(-df.count() // block))
@@ -24,8 +24,13 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, with_self: bool = False
     left = queries.select(F.col("id").alias("id"), F.col("z").alias("z"), F.pmod(F.xxhash64("id"), nq).cast("int").alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(npool - 1))))
     right = pool.select(F.col("id").alias("id"), F.col("z").alias("z"), F.pmod(F.xxhash64("id"), npool).cast("int").alias("b")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
+    if metric not in ("cosine", "euclidean"):
+        raise ValueError("metric: cosine or euclidean")
+
     def unit(z: pd.Series) -> np.ndarray:
         m = np.stack(z.to_numpy()).astype(float)
+        if metric == "euclidean":
+            return m
         n = np.linalg.norm(m, axis=1, keepdims=True)
         return m / np.where(n > 0, n, 1)
 
@@ -36,7 +41,11 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, with_self: bool = False
         ids, m, out = p["id"].to_numpy(), unit(p["z"]), []
         for i in range(0, len(q), 512):
             part = q.iloc[i : i + 512]
-            sims = np.round(unit(part["z"]) @ m.T, digits)
+            x = unit(part["z"])
+            sims = x @ m.T
+            if metric == "euclidean":
+                sims = -np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (m * m).sum(axis=1)[None, :] - 2 * sims, 0))
+            sims = np.round(sims, digits)
             src = part["id"].to_numpy()
             if not with_self:
                 sims[src[:, None] == ids[None, :]] = -np.inf
@@ -51,6 +60,60 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, with_self: bool = False
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "dst", "rank", "sim")
 
 
+def approximate(queries: DataFrame, pool: DataFrame, k: int, tables: int = 32, bits: int = 8, probes: int = 5, seed: int = 0, digits: int = 9, bucket: int = BLOCK) -> DataFrame:
+    """(src, dst, rank, sim): k near rows of pool by cosine, by random hyperplanes; every row of pool is indexed.
+
+    Rows share a bucket of a table if `bits` of their signs agree (more bits suit more rows: a bucket
+    holds some 2^-bits of them); queries also look into the `probes`
+    buckets that differ in the sign of which they are least sure. Sums over a bucket are in tasks of at
+    most `bucket` rows of pool, cut by hash, so a crowded bucket is no one task's.
+    """
+    width = len((pool.first() or queries.first())["z"])
+    planes = np.random.RandomState(seed).standard_normal((tables * bits, width))
+
+    def keys(z: pd.Series, more: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of row and of bucket, table by table."""
+        x = (np.stack(z.to_numpy()).astype(float) @ planes.T).reshape(len(z), tables, bits)
+        code = ((x > 0) << np.arange(bits)).sum(axis=2)
+        sure = np.argsort(np.abs(x), axis=2, kind="stable")[:, :, :more]
+        every = np.concatenate([code[:, :, None], code[:, :, None] ^ (1 << sure)], axis=2) if more else code[:, :, None]
+        return every + (np.arange(tables) << bits)[None, :, None]
+
+    def keyed(df: DataFrame, more: int) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                if len(b):
+                    yield pd.DataFrame({"id": b["id"], "z": b["z"], "keys": [list(map(int, r.ravel())) for r in keys(b["z"], more)]})
+
+        return df.select(F.col("id"), F.col("z").cast("array<double>").alias("z")).mapInPandas(run, "id long, z array<double>, keys array<long>").select("id", "z", F.explode("keys").alias("key"))
+
+    inside = cut(keyed(pool, 0))
+    parts = inside.groupBy("key").agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts"))
+    held = inside.join(F.broadcast(parts), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")  # at most tables x 2^bits rows
+    asked = keyed(queries, probes).join(F.broadcast(parts), "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def top(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(p):
+            return pd.DataFrame({"src": [], "dst": [], "sim": []}).astype({"src": "int64", "dst": "int64", "sim": "float64"})
+        unit = lambda z: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.stack(z.to_numpy()).astype(float))
+        p = p.sort_values("id", kind="stable")
+        ids, m, out = p["id"].to_numpy(), unit(p["z"]), []
+        for i in range(0, len(q), 512):
+            part = q.iloc[i : i + 512]
+            src = part["id"].to_numpy()
+            sims = np.round(unit(part["z"]) @ m.T, digits)
+            sims[src[:, None] == ids[None, :]] = -np.inf
+            order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            got = np.take_along_axis(sims, order, axis=1)
+            some = (got > -np.inf).ravel()
+            out.append(pd.DataFrame({"src": np.repeat(src, order.shape[1])[some], "dst": ids[order].ravel()[some], "sim": got.ravel()[some]}))
+        return pd.concat(out)
+
+    found = asked.groupBy("key", "part").cogroup(held.groupBy("key", "part")).applyInPandas(top, "src long, dst long, sim double").distinct()
+    order = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "dst", "rank", "sim")
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     """(src, dst, weight) in both directions, the larger weight of the two."""
     both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight"))
@@ -107,12 +170,12 @@ def communities(edges: DataFrame, ids: DataFrame, rounds: int = 200) -> DataFram
     """(id, community): weighted label propagation, each label its smallest start id; rows without edges have -1.
 
     A stand-in for modularity clustering. An id would take the label of the largest weight around it
-    (its own counts by the mean weight), the smaller on ties; in each round, half of those that would
+    (its own counts by half the mean weight), the smaller on ties; in each round, half of those that would
     change do, by hash, so that neighbours don't swap labels for ever. It ends when none would change;
     if some still would after `rounds`, RuntimeError.
     """
     links = cut(symmetric(edges.where("src != dst")))
-    own = cut(links.groupBy("src").agg(F.avg("weight").alias("w")))
+    own = cut(links.groupBy("src").agg((F.avg("weight") / 2).alias("w")))
     now = cut(links.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")))
     for k in range(rounds):
         votes = links.join(now.select(F.col("id").alias("dst"), "community"), "dst").select(F.col("src").alias("id"), "community", F.col("weight").alias("w"))

@@ -90,3 +90,30 @@ def fingerprint(ids: DataFrame, key: str, order: list[str], block: int = 100_000
     each = blocks.select("b", F.sha2(F.array_join(F.transform("x", lambda x: x.s), ""), 256).alias("d"))
     whole = each.agg(F.array_sort(F.collect_list(F.struct("b", "d"))).alias("x"))
     return whole.select(F.sha2(F.array_join(F.transform("x", lambda x: x.d), ""), 256).alias("fingerprint"))
+
+
+def attach(rows: DataFrame, results: DataFrame, id_column: str = "id", key: str = "id", prefix: str = "") -> DataFrame:
+    """rows with the columns of results under a prefix, nulls where there is no result.
+
+    Joined by results' `key` if it matches any row; else by the column of text or whole numbers that
+    matches most; else by such a column with blanks trimmed on both sides; else ValueError. A key that
+    comes twice raises ValueError.
+    """
+    mine = rows.select(F.col(id_column).cast("string").alias("k")).distinct()
+    kinds = [c for c, t in results.dtypes if t in ("string", "tinyint", "smallint", "int", "bigint")]
+    columns = ([key] if key in kinds else []) + [c for c in kinds if c != key]
+
+    def matched(clean) -> dict[str, int]:
+        long = results.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.c", clean(F.col("x.v")).alias("k")).distinct()
+        return {r["c"]: r["n"] for r in long.join(mine.select(clean(F.col("k")).alias("k")), "k").groupBy("c").agg(F.count("*").alias("n")).collect()}  # one row for each column
+
+    for clean in (lambda c: c, F.trim):
+        if hits := matched(clean) if columns else {}:
+            best = key if key in hits else max(hits, key=lambda c: (hits[c], -columns.index(c)))
+            named = results.select(clean(F.col(best).cast("string")).alias("_k"), *[F.col(c).alias(prefix + c) for c in results.columns if c != best and prefix + c != id_column])
+            named = named.join(rows.select(clean(F.col(id_column).cast("string")).alias("_k")).distinct(), "_k", "left_semi")
+            if not named.groupBy("_k").count().where("count > 1").isEmpty():
+                raise ValueError(f"{best} holds a key twice")
+            out = rows.drop(*[c for c in named.columns if c != "_k"]).withColumn("_k", clean(F.col(id_column).cast("string")))
+            return out.join(named, "_k", "left").drop("_k")
+    raise ValueError("no column of the results matches a row")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.lineage import cut
+from quillstone.operators.lineage import cut, running
 
 DECAY = 0.8
 MOST_LEVELS = 100
@@ -158,3 +158,88 @@ def order_constraints(edges: DataFrame, occupied: DataFrame, develops: DataFrame
     if develops is not None:
         pairs = pairs.union(develops.select("earlier", "later"))
     return pairs.join(occupied.select(F.col("node").alias("earlier")), "earlier", "left_semi").join(occupied.select(F.col("node").alias("later")), "later", "left_semi").select("earlier", "later").distinct()
+
+
+def relevant(edges: DataFrame, predicted: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """(node): predicted classes (node) and one shortest way from each to a root, by smaller names on ties."""
+    up = cut(closure(edges) if up is None else up)
+    deep = cut(depths(edges, up).select("node", "shortest"))
+    step = edges.select("child", "parent").distinct().join(deep.select(F.col("node").alias("parent"), F.col("shortest").alias("d")), "parent")
+    first = cut(step.groupBy("child").agg(F.min(F.struct("d", "parent")).alias("b")).select(F.col("child"), F.col("b.parent").alias("parent")))
+    now = found = cut(nodes(edges).join(predicted.select("node").distinct(), "node", "left_semi"))
+    while not now.isEmpty():
+        now = cut(now.join(first, F.col("node") == F.col("child")).select(F.col("parent").alias("node")).distinct().join(found, "node", "left_anti"))
+        found = found.unionByName(now)
+    return found
+
+
+def pruned(edges: DataFrame, counts: DataFrame, least: int) -> DataFrame:
+    """(child, parent): the vocabulary without leaves of fewer than `least` rows (counts: node, n), time after time, then without empty nodes that just pass on from one child.
+
+    What passes on is bridged: its child gets its parents.
+    """
+    kept = cut(edges.select("child", "parent").distinct())
+    n = cut(counts.select("node", "n"))
+    while True:
+        low = leaves(kept).join(n, "node", "left").where(F.coalesce("n", F.lit(0)) < least)
+        low = cut(low.select(F.col("node").alias("child")))
+        if low.isEmpty():
+            break
+        kept = cut(kept.join(low, "child", "left_anti").select("child", "parent"))
+    while True:
+        children = kept.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("children"))
+        empty = kept.select(F.col("child").alias("node")).distinct().join(children, "node").join(n, "node", "left").where("children = 1 and coalesce(n, 0) = 0")
+        one = cut(empty.agg(F.min("node").alias("node")).where("node is not null"))  # one at a time, as bridges meet
+        if one.isEmpty():
+            return kept
+        above = kept.join(one.select(F.col("node").alias("child")), "child", "left_semi").select(F.col("child").alias("mid"), "parent")
+        under = kept.join(one.select(F.col("node").alias("parent")), "parent", "left_semi").select("child", F.col("parent").alias("mid"))
+        rest = kept.join(one.select(F.col("node").alias("child")), "child", "left_anti").join(one.select(F.col("node").alias("parent")), "parent", "left_anti").select("child", "parent")
+        kept = cut(rest.unionByName(under.join(above, "mid").select("child", "parent")).distinct())
+
+
+def reduced(edges: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """(child, parent): edges that no longer way replaces (the transitive reduction)."""
+    up = closure(edges) if up is None else up
+    over = up.where("longest > 1").select(F.col("node").alias("child"), F.col("ancestor").alias("parent"))
+    return edges.select("child", "parent").distinct().join(over, ["child", "parent"], "left_anti")
+
+
+def small_tree(edges: DataFrame, kept: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """(child, parent) among kept nodes (node): each below its nearest kept ancestors that no other kept one lies under."""
+    up = cut(closure(edges) if up is None else up)
+    keep = lambda c: kept.select(F.col("node").alias(c)).distinct()
+    pairs = cut(up.where("shortest > 0").join(keep("node"), "node", "left_semi").join(keep("ancestor"), "ancestor", "left_semi").select(F.col("node").alias("child"), F.col("ancestor").alias("parent")))
+    through = pairs.select("child", F.col("parent").alias("mid")).join(pairs.select(F.col("child").alias("mid"), "parent"), "mid").select("child", "parent").distinct()
+    return pairs.join(through, ["child", "parent"], "left_anti")
+
+
+def walked_up(edges: DataFrame, kept: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """(node, target): the nearest kept node (node) at or above each node, deepest then smaller name on ties; nodes without one have none."""
+    up = closure(edges) if up is None else up
+    deep = depths(edges, up).select(F.col("node").alias("ancestor"), F.col("longest").alias("depth"))
+    near = up.join(kept.select(F.col("node").alias("ancestor")).distinct(), "ancestor", "left_semi").join(deep, "ancestor")
+    return near.groupBy("node").agg(F.min(F.struct("shortest", (-F.col("depth")).alias("d"), "ancestor")).alias("b")).select("node", F.col("b.ancestor").alias("target"))
+
+
+def common_terms(edges: DataFrame, classes: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """(group, node): the deepest terms at or above all of a group's classes (group, label), none of which lies above another."""
+    up = closure(edges) if up is None else up
+    sizes = classes.select("group", "label").distinct().groupBy("group").agg(F.count("*").alias("n"))
+    met = classes.select("group", F.col("label").alias("node")).distinct().join(up, "node").groupBy("group", "ancestor").agg(F.count("*").alias("k")).join(sizes, "group").where("k = n").select("group", F.col("ancestor").alias("node"))
+    over = met.join(up.where("shortest > 0").select("node", "ancestor"), "node").select("group", F.col("ancestor").alias("node")).distinct()
+    return met.join(over, ["group", "node"], "left_anti")
+
+
+def multi_lineage(edges: DataFrame, classes: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """(group, is_multi): whether a group's classes have nothing deeper in common than roots."""
+    common = common_terms(edges, classes, up).join(roots(edges).withColumn("root", F.lit(True)), "node", "left")
+    seen = common.groupBy("group").agg(F.min(F.coalesce("root", F.lit(False))).alias("all_roots"))
+    return classes.select("group").distinct().join(seen, "group", "left").select("group", F.coalesce("all_roots", F.lit(True)).alias("is_multi"))
+
+
+def canonical_order(edges: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """(node, place): nodes by size of their subtree, the largest first, then depth, then name."""
+    up = closure(edges) if up is None else up
+    sizes = up.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("size")).join(depths(edges, up).select("node", "shortest"), "node")
+    return running(sizes, [F.desc("size"), F.asc("shortest"), F.asc("node")], F.lit(1), "place").select("node", "place")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.tails import hypergeometric_upper, normal_upper, student_upper
+from quillstone.operators.lineage import cut
 
 
 def bh(rows: DataFrame, p: str = "p", by: list[str] | None = None, out: str = "q") -> DataFrame:
@@ -172,3 +173,54 @@ def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:
     expected = F.col("pa") * F.col("pb") / pairs
     top = (F.col("pa") + F.col("pb")) / 2
     return joined.select(F.when((pairs > 0) & (top != expected), (F.col("both") - expected) / (top - expected)).otherwise(1.0).alias("ari"))
+
+
+def find_markers(attributions: DataFrame, labels: DataFrame, top: int = 100, alpha: float | None = None, confidence: str = "auto", least: int = 10) -> DataFrame:
+    """(label, gene, mean, spec, contrast, p, basis, reproducibility, rank): genes whose attribution is highest in a label, at most `top` of each, the report's size.
+
+    attributions: (cell, gene, value), absent pairs 0; labels: (cell, label[, sample]). p: across samples
+    where a label has two or more with cells enough on both sides (auto), else of each label against all other cells
+    (within_sample), or by permutation.
+    """
+    if confidence not in ("auto", "within_sample", "permutation"):
+        raise ValueError("confidence: auto, within_sample or permutation")
+    plain = labels.select("cell", "label")
+    scores = marker_scores(attributions, plain).select("label", "gene", "mean", "spec", "contrast")
+    own = permutation_test(attributions, plain) if confidence == "permutation" else one_vs_rest(attributions, plain)
+    rows = scores.join(own.select("label", "gene", F.col("p").alias("p_own")), ["label", "gene"])
+    if confidence == "auto" and "sample" in labels.columns:
+        across = across_samples_p(sample_effects(attributions, labels, least)).select("label", "gene", "samples", F.col("p").alias("p_across"), "reproducibility")
+        rows = rows.join(across, ["label", "gene"], "left")
+        many = F.coalesce(F.col("samples") >= 2, F.lit(False))
+        rows = rows.select("label", "gene", "mean", "spec", "contrast", F.when(many, F.col("p_across")).otherwise(F.col("p_own")).alias("p"), F.when(many, "across_sample").otherwise("within_sample").alias("basis"), F.when(many, F.col("reproducibility")).alias("reproducibility"))
+    else:
+        rows = rows.select("label", "gene", "mean", "spec", "contrast", F.col("p_own").alias("p"), F.lit("within_sample").alias("basis"), F.lit(None).cast("double").alias("reproducibility"))
+    return marker_table(rows, top, alpha)
+
+
+def gene_networks(expr: DataFrame, genes: DataFrame, n_cells: int, masses: DataFrame, sets: DataFrame | None = None, least: float = 0.3, least_size: int = 3, fdr: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Edges (a, b, rho, p), modules (module, gene, mass) and enriched terms of the chosen genes.
+
+    Edges: correlated pairs, p by Student's t times the number of pairs tested. Modules: communities of
+    the edges with at least least_size genes, numbered by their smallest gene; mass: the sum of masses
+    (gene, mass) over a module. Terms: over_representation of modules in sets (term, gene) with q below fdr.
+    """
+    from quillstone.operators.graph import communities
+
+    chosen = cut(genes.select("gene").distinct())
+    pairs = chosen.count() * (chosen.count() - 1) / 2
+    edges = spearman_pairs(expr, chosen, n_cells, least)
+    t = F.abs("rho") * F.sqrt((n_cells - 2) / F.greatest(1 - F.col("rho") * F.col("rho"), F.lit(1e-12)))
+    edges = cut(edges.withColumn("p", F.least(F.lit(1.0), 2 * pairs * student_upper(t, F.lit(float(n_cells - 2))))))
+    found = communities(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.abs("rho").alias("weight")), chosen.select(F.col("gene").alias("id"))).where("community >= 0")
+    sizes = found.groupBy("community").agg(F.count("*").alias("size"), F.min("id").alias("first")).where(F.col("size") >= least_size)
+    members = cut(found.join(sizes, "community").select(F.col("first").alias("module"), F.col("id").alias("gene")))
+    mass = members.join(masses, "gene", "left").groupBy("module").agg(F.coalesce(F.sum("mass"), F.lit(0.0)).alias("mass"))
+    modules = members.join(mass, "module")
+    terms = None if sets is None else over_representation(members, sets, n_genes(sets, chosen)).where(F.col("q") < fdr)
+    return edges, modules, terms
+
+
+def n_genes(sets: DataFrame, chosen: DataFrame) -> int:
+    """The population of an enrichment: all genes of the sets and the chosen ones."""
+    return sets.select("gene").union(chosen.select("gene")).distinct().count()

@@ -11,6 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.lineage import cut
+from quillstone.operators.stats import bh, pct_rank
+from quillstone.operators.trajectory import slice_modes
+
 
 def dense(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """All cells (lineage, id, rank) with all genes of their lineage, absent values 0."""
@@ -34,6 +38,117 @@ def walk_statistics(rows: DataFrame, column: str = "value") -> DataFrame:
     return sums.select("lineage", "gene", "n", F.when(F.col("sd") > 1e-12, (F.col("high") - F.col("low")) / (F.col("sd") * F.sqrt("n"))).otherwise(0.0).alias("statistic"))
 
 
+def sparse_walks(entries: DataFrame, cells: DataFrame) -> DataFrame:
+    """(lineage, gene, n, statistic) as of walk_statistics on all cells, from stored values alone; absent pairs are 0.
+
+    entries: (lineage, id, gene, value) with value > 0; cells: (lineage, id, place) with places from 1 and,
+    if covariate is there, one that each gene's line over it is held fixed for. Between two stored values
+    a gene's total only falls, unless its line is not above 0 everywhere: those genes are walked over
+    every cell.
+    """
+    held = "covariate" in cells.columns
+    c = F.col("covariate").cast("double") if held else F.lit(0.0)
+    per = cells.groupBy("lineage").agg(F.count("*").alias("n"), F.avg(c).alias("cm"))
+    walked = cells.join(per, "lineage").withColumn("c", c - F.col("cm"))
+    along = Window.partitionBy("lineage").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walked = cut(walked.withColumn("cc", F.sum("c").over(along) if held else F.lit(0.0)).select("lineage", "id", "place", "n", "c", "cc"))
+    line = walked.groupBy("lineage").agg(F.sum(F.col("c") * F.col("c")).alias("css"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    stored = entries.join(walked, ["lineage", "id"])
+    sums = stored.groupBy("lineage", "gene").agg((F.sum("value") / F.first("n")).alias("mean"), F.sum(F.col("value") * F.col("value")).alias("ss"), F.sum(F.col("value") * F.col("c")).alias("xc"), F.first("n").alias("n"))
+    genes = sums.join(line, "lineage").withColumn("slope", F.when(F.col("css") > 0, F.col("xc") / F.col("css")).otherwise(0.0))
+    rises = ~((F.col("mean") + F.col("slope") * F.col("c0") > 0) & (F.col("mean") + F.col("slope") * F.col("c1") > 0))
+    genes = cut(genes.withColumn("rises", rises if held else F.lit(False)))
+    run = Window.partitionBy("lineage", "gene").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = stored.join(genes.where("not rises").select("lineage", "gene", "mean", "slope"), ["lineage", "gene"]).withColumn("run", F.sum("value").over(run))
+    after = F.col("run") - F.col("place") * F.col("mean") - F.col("slope") * F.col("cc")
+    before = F.col("run") - F.col("value") - (F.col("place") - 1) * F.col("mean") - F.col("slope") * (F.col("cc") - F.col("c"))
+    ends = lambda df, up, down: df.groupBy("lineage", "gene").agg(F.greatest(F.max(up), F.lit(0.0)).alias("high"), F.least(F.min(down), F.lit(0.0)).alias("low"))
+    far = ends(steps, after, before)
+    if held:
+        some = genes.where("rises").select("lineage", "gene", "mean", "slope")
+        grid = walked.join(some, "lineage").join(entries.select("lineage", "id", "gene", "value"), ["lineage", "id", "gene"], "left").fillna(0.0, ["value"]).withColumn("run", F.sum("value").over(run))
+        far = far.unionByName(ends(grid, after, after))
+    spread = F.sqrt(F.greatest(F.col("ss") / F.col("n") - F.col("mean") * F.col("mean") - F.col("slope") * F.col("slope") * F.col("css") / F.col("n"), F.lit(0.0)))
+    return far.join(genes, ["lineage", "gene"]).select("lineage", "gene", "n", ((F.col("high") - F.col("low")) / F.greatest(spread * F.sqrt("n"), F.lit(1e-12))).alias("statistic"))
+
+
+def places(cells: DataFrame, *order: str) -> DataFrame:
+    """Adds place, from 1, of cells in the order within their lineage."""
+    return cells.withColumn("place", F.row_number().over(Window.partitionBy("lineage").orderBy(*order)))
+
+
+def shuffled_walks(entries: DataFrame, cells: DataFrame, n: int = 20, seed: int = 0) -> DataFrame:
+    """(lineage, gene, shuffle, statistic): sparse_walks with the cells of each lineage in `n` orders by hash."""
+    named = lambda df: df.withColumn("lineage", F.concat(F.col("lineage"), F.lit("\x01"), F.col("shuffle")))
+    orders = F.explode(F.sequence(F.lit(1), F.lit(n)))
+    dealt = named(cells.withColumn("shuffle", orders)).withColumn("at", F.xxhash64(F.lit(seed), "shuffle", "id"))
+    walks = sparse_walks(named(entries.withColumn("shuffle", orders)), places(dealt, "at", "id").drop("at", "shuffle"))
+    parts = F.split("lineage", "\x01")
+    return walks.select(parts[0].alias("lineage"), "gene", parts[1].cast("int").alias("shuffle"), "statistic")
+
+
+def detection_strata(detected: DataFrame, strata: int = 5) -> DataFrame:
+    """Adds stratum to detected (lineage, gene, detection): how many of the inner quantiles lie below it."""
+    inner = F.array(*[F.lit(k / strata) for k in range(1, strata)])
+    edges = detected.groupBy("lineage").agg(F.percentile("detection", inner).alias("edges"))
+    return detected.join(edges, "lineage").withColumn("stratum", F.size(F.filter("edges", lambda e: e < F.col("detection")))).drop("edges")
+
+
+def pooled_p(observed: DataFrame, shuffled: DataFrame) -> DataFrame:
+    """Adds p to observed (lineage, gene, stratum, statistic): the share of shuffled statistics (lineage, gene, statistic) of its stratum that reach it; (reached + 1) / (pool + 1).
+
+    What a window orders is distinct statistics with their counts.
+    """
+    pool = shuffled.join(observed.select("lineage", "gene", "stratum"), ["lineage", "gene"]).groupBy("lineage", "stratum", "statistic").agg(F.count("*").alias("drawn"))
+    both = pool.unionByName(observed.select("lineage", "stratum", "statistic", F.lit(0).cast("long").alias("drawn"))).groupBy("lineage", "stratum", "statistic").agg(F.sum("drawn").alias("drawn"))
+    up = Window.partitionBy("lineage", "stratum").orderBy(F.desc("statistic")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy("lineage", "stratum")
+    table = both.withColumn("reached", F.sum("drawn").over(up)).withColumn("pool", F.sum("drawn").over(every))
+    return observed.join(table.select("lineage", "stratum", "statistic", ((F.col("reached") + 1) / (F.col("pool") + 1)).alias("p")), ["lineage", "stratum", "statistic"])
+
+
+def normalised_entries(counts: DataFrame, cells: DataFrame, least: int = 25) -> DataFrame:
+    """(lineage, id, gene, value, detected) of counts (id, gene, value) of cells (lineage, id): genes seen in at least `least` cells of the lineage, to its median size over those genes, log1p."""
+    own = counts.where("value > 0").join(cells.select("lineage", "id"), "id")
+    seen = own.groupBy("lineage", "gene").agg(F.count("*").alias("detected")).where(F.col("detected") >= least)
+    tested = cut(own.join(seen, ["lineage", "gene"]))
+    totals = cells.select("lineage", "id").join(tested.groupBy("lineage", "id").agg(F.sum("value").alias("total")), ["lineage", "id"], "left").withColumn("total", F.coalesce("total", F.lit(1.0)))
+    middle = totals.groupBy("lineage").agg(F.percentile("total", F.lit(0.5)).alias("middle"))
+    scale = F.col("middle") / F.col("total")
+    return tested.join(totals, ["lineage", "id"]).join(middle, "lineage").select("lineage", "id", "gene", F.log1p(F.col("value") * scale).alias("value"), "detected")
+
+
+def gene_trends(counts: DataFrame, cells: DataFrame, shuffles: int = 20, strata: int = 5, fdr: float = 0.05, least: int = 25, keep_all: bool = False) -> DataFrame:
+    """(lineage, order_in_lineage, gene, n_cells, strength, p, q, level, peak[, type_at_peak]): genes that change along a lineage, in the order in which they peak.
+
+    counts: (id, gene, value); cells: (lineage, id, rank[, covariate][, type]), those with a rank; of the
+    covariate, usually how many genes a cell shows, each gene's line is held fixed.
+    """
+    cells = cut(cells.where("rank is not null"))
+    entries = cut(normalised_entries(counts, cells, least))
+    placed = places(cells, "rank", "id")
+    walk = [c for c in ("lineage", "id", "place", "covariate") if c in placed.columns]
+    sizes = cells.groupBy("lineage").agg(F.count("*").alias("size"))
+    seen = entries.groupBy("lineage", "gene").agg(F.first("detected").alias("n_cells")).join(sizes, "lineage").withColumn("detection", F.col("n_cells") / F.col("size"))
+    observed = sparse_walks(entries, placed.select(*walk)).join(detection_strata(seen, strata).select("lineage", "gene", "n_cells", "stratum"), ["lineage", "gene"])
+    null = shuffled_walks(entries, cells.select(*[c for c in walk if c != "place"]), shuffles)
+    tested = cut(bh(pooled_p(cut(observed.withColumn("statistic", F.round("statistic", 9))), null.withColumn("statistic", F.round("statistic", 9))), "p", ["lineage"]))
+    passing = tested.where(F.col("q") < fdr).select("lineage", "gene")
+    ranked = pct_rank(cells, "rank", ["lineage"], "pct")
+    full = ranked.join(passing, "lineage").join(entries.select("lineage", "id", "gene", "value"), ["lineage", "id", "gene"], "left").fillna(0.0, ["value"])
+    if "covariate" in cells.columns:
+        full = residuals(full).withColumn("value", F.col("residual"))
+    drawn = curves(full.select("lineage", "id", F.col("pct").alias("rank"), "gene", "value")).select(F.col("lineage"), F.col("gene").alias("named"), "level", "peak")
+    out = tested.withColumn("named", F.col("gene").cast("string")).join(drawn, ["lineage", "named"], "left" if keep_all else "inner").drop("named")
+    columns = ["lineage", "order_in_lineage", "gene", "n_cells", F.col("statistic").alias("strength"), "p", "q", "level", "peak"]
+    if "type" in cells.columns:
+        modes = slice_modes(cells.select("lineage", "id", "rank", "type")).select("lineage", "slice", F.col("type").alias("type_at_peak"))
+        out = out.withColumn("slice", F.least(F.floor(F.col("peak") * 60), F.lit(59))).join(modes, ["lineage", "slice"], "left")
+        columns.append("type_at_peak")
+    order = Window.partitionBy("lineage").orderBy(F.col("peak").asc_nulls_last(), "gene")
+    return out.withColumn("order_in_lineage", F.row_number().over(order)).select(*columns)
+
+
 def stratified_p(observed: DataFrame, shuffled: DataFrame, strata: int = 5) -> DataFrame:
     """(lineage, gene, statistic, stratum, p): the share of shuffled statistics of genes with like detection that reach the observed; (reached + 1) / (pool + 1).
 

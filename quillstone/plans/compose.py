@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.operators import atypical, classify, graph, ontology, stats, trajectory
+from quillstone.operators import atypical, classify, expression, graph, labels, ontology, preparation, stats, trajectory
+from quillstone.operators.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -37,14 +38,52 @@ def predict(rows: DataFrame, protos: DataFrame, settings: Settings = Settings(),
     scores = classify.similarities(rows, protos).select("id", "label", F.greatest("sim", F.lit(0.0)).alias("score"))
     if refine:
         entropy = classify.score_entropy(scores)
-        cut = entropy.agg(F.percentile("entropy", F.lit(settings.refine_pct / 100)).alias("cut"))
-        uncertain = entropy.join(F.broadcast(cut)).where("entropy >= cut").select("id")
+        limit = entropy.agg(F.percentile("entropy", F.lit(settings.refine_pct / 100)).alias("cut"))
+        uncertain = entropy.join(F.broadcast(limit)).where("entropy >= cut").select("id")
         knn = graph.nearest(rows, rows, settings.neighbours, with_self=True)
         adjacency = graph.normalised(knn.select("src", "dst", F.greatest("sim", F.lit(0.0)).alias("weight")), rows.select("id"))
         scores = graph.propagated(scores, adjacency, settings.rounds, settings.alpha, uncertain)
     return classify.top_k(scores, settings.top_k, digits=9)
 
 
+def predict_by_consensus(rows: DataFrame, protos: DataFrame, expert: DataFrame, edges: DataFrame, seen: DataFrame, settings: Settings = Settings(), refine: bool = True) -> DataFrame:
+    """(id, label, score, rank, tier): top labels by expert, geometry and profile together; scores of the most uncertain rows are refined over their neighbours.
+
+    rows: (id, z); protos: (label, v) of all labels; expert: (id, label, score) of the labels it has seen,
+    which `seen` (label) lists. Geometry: cosine to the prototypes. Profile: how a row's similarities to the
+    seen labels correlate with those of each label's own prototype.
+    """
+    sims = cut(classify.similarities(rows, protos))
+    over = seen.select("label").distinct()
+    observed = sims.join(over, "label").select("id", F.col("label").alias("seen"), F.col("sim").alias("x"))
+    theory = classify.similarities(protos.select(F.col("label").alias("id"), F.col("v").alias("z")), protos.join(over, "label", "left_semi")).select(F.col("id").alias("label"), F.col("label").alias("seen"), F.col("sim").alias("y"))
+    profile = classify.profile_scores(observed, theory)
+    full = classify.expanded(expert, protos.select("label")).select("id", "label", F.col("score").alias("expert"))
+    heads = full.join(sims.select("id", "label", F.col("sim").alias("geometry")), ["id", "label"]).join(profile, ["id", "label"], "left").fillna(0.0, ["profile"])
+    heads = heads.join(over.withColumn("seen", F.lit(True)), "label", "left").fillna(False, ["seen"])
+    scored = cut(classify.consensus(heads, classify.one_hop(edges)))
+    scores = scored.select("id", "label", "score")
+    if refine:
+        entropy = cut(classify.score_entropy(scores))
+        limit = expression.entropy_threshold(entropy)
+        near = graph.nearest(rows, rows, settings.neighbours, with_self=True)
+        adjacency = graph.normalised(near.select("src", "dst", F.greatest("sim", F.lit(0.0)).alias("weight")), rows.select("id"))
+        scores = graph.propagated(scores, adjacency, settings.rounds, settings.alpha, entropy.where(F.col("entropy") > limit).select("id"))
+    return classify.top_k(scores, settings.top_k, digits=9).join(scored.select("id", "tier").distinct(), "id")
+
+
+def write_predictions(rows: DataFrame, predictions: DataFrame, prefix: str = "", pct: float = 1.0, most: int = 20) -> DataFrame:
+    """rows (id) with prediction, prediction_confidence and, where labels are rare, prediction_bucket under a prefix: the best label of each row."""
+    best = predictions.where("rank = 1").select("id", F.col("label").alias("prediction"), F.col("score").alias("prediction_confidence"))
+    rolled = labels.roll_up_rare(best, "prediction", pct, most).withColumnRenamed("bucket", "prediction_bucket").drop("is_bucketed")
+    return labels.attach(rows, rolled, prefix=prefix)
+
+
+def reduced_dimensions(rows: DataFrame, k: int = 50) -> DataFrame:
+    """(id, z): principal components, the first step of a map; the map itself is left to other tools."""
+    return preparation.principal_components(rows, k)
+
+
 def evaluate(rows: DataFrame, protos: DataFrame, edges: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Per row (id, label, z): adherence, jsd, sim, margin, abnormality, is_seed, community and is_atypical.
 
