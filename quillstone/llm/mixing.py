@@ -34,9 +34,8 @@ WEIGHTS = (5, 2, 1)
 EPOCHS = 1.5
 MOST = 2
 BLOCK_WORDS = 16
-#: Words in a shard, about; a source has at most MAX_SHARDS shards, which then hold more.
+#: Words in a shard, about; a source of 1e13 words has 4e7 shards, of which one task sees a small row each.
 SHARD_WORDS = 250_000
-MAX_SHARDS = 4096
 #: Sources that are broadcast at most; beyond it the join shuffles.
 BROADCAST_SOURCES = 10_000
 SEED = 42
@@ -100,11 +99,11 @@ def mix(
     """
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")))
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs, most)
-    sources = sources.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_size") / shard_words))).cast("int"))
+    sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
     sources = cut(sources)
     named = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
     dealt = join_null_safe(rows, named, ["source"])
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.col("shards")).cast("int"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.col("shards")))
 
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
     shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / block_words)).withColumn("limit", F.col("blocks") * most)
