@@ -26,10 +26,10 @@ def similarities(rows: DataFrame, protos: DataFrame) -> DataFrame:
     return rows.select("id", "z").join(held.select("label", "v")).select("id", "label", cosine(F.col("z"), F.col("v")).alias("sim"))
 
 
-def top_k(scores: DataFrame, k: int, column: str = "score", digits: int | None = None) -> DataFrame:
-    """Scores (id, label, score) with their rank, up to k per id; smaller label on ties."""
-    by = F.col(column) if digits is None else F.round(column, digits)
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(by.desc(), "label"))).where(F.col("rank") <= k)
+def top_k(scores: DataFrame, k: int, column: str = "score", digits: int | None = None, then: str | None = None) -> DataFrame:
+    """Scores (id, label, score) with their rank, up to k per id; on ties the larger `then`, if given, and the smaller label."""
+    by = [F.col(c) if digits is None else F.round(c, digits) for c in (column, then) if c]
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*[c.desc() for c in by], "label"))).where(F.col("rank") <= k)
 
 
 def classified(rows: DataFrame, protos: DataFrame, digits: int = 9) -> DataFrame:

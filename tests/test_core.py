@@ -195,3 +195,13 @@ def test_a_fingerprint_does_not_depend_on_blocks(spark, block):
     whole = "".join(f"{len(str(i))}:{i}" for i in reversed(range(25)))
     assert labels.fingerprint(ids, "id", ["order"], block).first().fingerprint == sha256(sha256(whole.encode()).hexdigest().encode()).hexdigest()
     assert [r.fingerprint for r in labels.fingerprint(ids.where("false"), "id", ["order"]).collect()] == [None]
+
+
+@pytest.mark.parametrize("refine", [False, True])
+def test_labels_of_score_zero_are_ranked_by_similarity(spark, refine):
+    from quillstone.plans import compose
+
+    protos = spark.createDataFrame([("a", [-1.0, 0.0]), ("b", [-0.1, -1.0])], "label string, v array<double>")
+    rows = spark.createDataFrame([(1, [1.0, 0.1]), (2, [1.0, 0.2])], "id long, z array<double>")
+    got = compose.predict(rows, protos, compose.Settings(neighbours=1), refine).where("rank = 1").collect()
+    assert {(r.id, r.label) for r in got} == {(1, "b"), (2, "b")} and (refine or {r.score for r in got} == {0.0})
