@@ -35,14 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import cut, one_per_task, opened, publish
+from quillstone.llm.shared import cut, freeing, one_per_task, opened, publish
 
 END_ID = 2
 SEQUENCE = 1024
 #: Sequences in a batch of the file.
 BATCH = 256
 #: Distinct words that a Python worker remembers at most.
-WORDS_HELD = 1_200_000
+WORDS_HELD = 900_000
 MANIFEST = "first_doc long, shard int, path string, n_docs long, n_tokens long, n_sequences long"
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -185,6 +185,7 @@ class ShardWriter:
 def write_shards(docs: DataFrame, uri: str, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Writes docs (doc_id, text) below uri and returns the manifest: one row per shard (MANIFEST) with `base`, the ids in all shards before it."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, encode, writer, first = TaskContext.get().partitionId(), encoder(tokenizer, end_id), None, None
         for b in batches:
@@ -217,6 +218,7 @@ def read_sequences(path: str) -> pa.ChunkedArray:
 def read_documents(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) for every document, read back from the files of a manifest."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
