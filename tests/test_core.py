@@ -205,3 +205,14 @@ def test_labels_of_score_zero_are_ranked_by_similarity(spark, refine):
     rows = spark.createDataFrame([(1, [1.0, 0.1]), (2, [1.0, 0.2])], "id long, z array<double>")
     got = compose.predict(rows, protos, compose.Settings(neighbours=1), refine).where("rank = 1").collect()
     assert {(r.id, r.label) for r in got} == {(1, "b"), (2, "b")} and (refine or {r.score for r in got} == {0.0})
+
+
+def test_binomial_tails_of_many_draws():
+    def summed(k, n, p):
+        logs = [math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(p) + (n - x) * math.log1p(-p) for x in range(k, n + 1)]
+        return max(logs) + math.log(math.fsum(math.exp(x - max(logs)) for x in logs))
+
+    for n, p in ((1, 0.5), (7, 0.3), (400, 0.02), (3000, 0.5), (3000, 0.9)):
+        for k in {1, n, *(max(1, min(n, int(n * p * f))) for f in (0.5, 0.9, 1, 1.01, 1.1, 2))}:
+            assert tails.binomial_log(k, n, p) == pytest.approx(summed(k, n, p), abs=1e-8, rel=1e-9)
+    assert tails.binomial_log(300_000_000, 900_000_000, 0.3) == pytest.approx(-2311735, rel=0.01) and tails.binomial_log(1, 900_000_000, 0.3) == 0
