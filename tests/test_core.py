@@ -216,3 +216,19 @@ def test_binomial_tails_of_many_draws():
         for k in {1, n, *(max(1, min(n, int(n * p * f))) for f in (0.5, 0.9, 1, 1.01, 1.1, 2))}:
             assert tails.binomial_log(k, n, p) == pytest.approx(summed(k, n, p), abs=1e-8, rel=1e-9)
     assert tails.binomial_log(300_000_000, 900_000_000, 0.3) == pytest.approx(-2311735, rel=0.01) and tails.binomial_log(1, 900_000_000, 0.3) == 0
+
+
+def test_a_search_deals_out_no_pairs(spark):
+    from quillstone.operators import doublets
+
+    r = np.random.default_rng(1)
+    z = r.normal(size=(90, 4))
+    rows = spark.createDataFrame([(i - 30, v.tolist()) for i, v in enumerate(z)], "id long, z array<double>")
+    plan = graph.nearest(rows, rows, 5, block=8)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Generate", "Window", "CoGroup"))
+    got = {x.id: (x.pann, x.dr) for x in doublets.near_synthetic(rows, 40, real=9, pann=20).collect()}
+    for i in range(30, 90):
+        near = sorted((j for j in range(90) if j != i), key=lambda j: (round(float(np.linalg.norm(z[i] - z[j])), 9), j))[:40]
+        nth = [k for k, j in enumerate(near) if j >= 30][8:9] or [40]
+        assert got[i - 30] == (pytest.approx(sum(j < 30 for j in near[:20]) / 20), sum(j < 30 for j in near[: nth[0]]))
+    assert len(got) == 60
