@@ -74,11 +74,32 @@ def one_per_task(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(1, rows.count()))
 
 
-def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A task's function that gives freed memory back to the system at its end, as its Python worker lives on beside the next tasks."""
+#: What a Python worker remembers from task to task.
+_remembered: dict = {}
+
+
+def remembered(key: tuple, make: Callable):
+    """What `make` gave for this key in an earlier task of the worker, or gives now; only the last key is held."""
+    if key not in _remembered:
+        forget()
+        _remembered[key] = make()
+    return _remembered[key]
+
+
+def forget() -> None:
+    _remembered.clear()
+
+
+def freeing(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives freed memory back to the system at its end, as its Python worker lives on beside the next tasks.
+
+    Unless it `keeps` them, it first forgets what tasks of another kind have left remembered.
+    """
 
     @wraps(run)
     def task(batches: Iterator) -> Iterator:
+        if not keeps:
+            forget()
         try:
             yield from run(batches)
         finally:

@@ -27,7 +27,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import cut, freeing, one_per_task, opened, publish
+from quillstone.llm.shared import cut, freeing, one_per_task, opened, publish, remembered
 
 END_ID = 2
 SEQUENCE = 1024
 #: Sequences in a batch of the file.
 BATCH = 256
 #: Distinct words that a Python worker remembers at most.
-WORDS_HELD = 900_000
+WORDS_HELD = 600_000
 MANIFEST = "first_doc long, shard int, path string, n_docs long, n_tokens long, n_sequences long"
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -121,10 +121,9 @@ class Encoder:
         return [np.frombuffer(b"".join(map(ids, words)) + self.end, self.kind) for words in split]
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str, end_id: int) -> Encoder:
-    """One for all tasks of a Python worker, which so remembers words from task to task."""
-    return Encoder(path, end_id)
+    """One for all tasks of a Python worker that encode, which so remembers words from one to the next; tasks of another kind drop it."""
+    return remembered((path, end_id), lambda: Encoder(path, end_id))
 
 
 def id_type(vocabulary: int, end_id: int) -> np.dtype:
@@ -185,7 +184,7 @@ class ShardWriter:
 def write_shards(docs: DataFrame, uri: str, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Writes docs (doc_id, text) below uri and returns the manifest: one row per shard (MANIFEST) with `base`, the ids in all shards before it."""
 
-    @freeing
+    @partial(freeing, keeps=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, encode, writer, first = TaskContext.get().partitionId(), encoder(tokenizer, end_id), None, None
         for b in batches:

@@ -62,8 +62,6 @@ TRAIN_DOCUMENTS = 4000
 #: Parts of the training rows that the curve is fitted across.
 PARTS = 3
 FOLDS = 5
-#: Parts of the n-grams that are counted one after another, to hold less at once.
-BLOCKS = 16
 #: Distinct expressions that a task remembers; beyond it the memory starts anew.
 WORDS_HELD = 500_000
 START, STOP = 1, 2
@@ -202,12 +200,21 @@ def _tally(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     return found, first, inverse, *(np.bincount(inverse, weights=w, minlength=len(found)) for w in weights)
 
 
-def _by_context(context: np.ndarray, places: np.ndarray) -> Iterator[np.ndarray]:
-    """The places in BLOCKS parts; those of one context stay together, so that each part is counted alone."""
-    block = (context[places] >> np.uint64(40)) % np.uint64(BLOCKS)
-    for k in range(BLOCKS):
-        if len(some := places[block == k]):
-            yield some
+def _by_last_byte(joined: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of bytes that have one before them, in parts by that byte: contexts that aren't empty meet in one part, so each is counted alone."""
+    at = np.flatnonzero(place[1:] > 0).astype(np.int32) + np.int32(1)
+    behind = joined[at - 1]
+    for byte in np.flatnonzero(np.bincount(behind, minlength=256)):
+        yield at[behind == byte]
+
+
+def _first_order(joined: np.ndarray, place: np.ndarray, discount: float) -> np.ndarray:
+    """The shared probability of each byte after the empty context: by the bytes it is seen after."""
+    pairs = np.zeros((256, 256), dtype=bool)
+    for some in _by_last_byte(joined, place):
+        pairs[joined[some[0] - 1], joined[some]] = True
+    cont = pairs.sum(axis=0).astype(float)
+    return (np.maximum(cont - discount, 0) + discount * np.count_nonzero(cont) * (1 / 256)) / max(cont.sum(), 1)
 
 
 def train(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray, order: int = ORDER, discount: float = DISCOUNT, strength: float = STRENGTH) -> Model:
@@ -216,43 +223,56 @@ def train(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray, order: in
     if not words or not toxic.sum() or not ordinary.sum():
         return Model(order, none.astype(np.uint64), none, none.astype(np.uint64), none)
     joined, place, number = _spelt(words)
-    hashes = _hashes(joined, place, order)
-    at = place > 0
-    behind, now = next(hashes), next(hashes)  # of k - 1 and k bytes; all orders at once would not fit
-
-    # shared: continuation counts of shorter n-grams, from the distinct n-grams one byte longer
-    shared = np.full(len(joined), 1 / 256)
-    for k in range(1, order):
-        ahead, context = next(hashes), _before(behind)
-        for some in _by_context(context, np.flatnonzero(at & (place >= k))):  # a byte stands before the n-gram
-            gram, of_some, lower = now[some], context[some], shared[some]
-            _, first = np.unique(ahead[some], return_index=True)
-            grams, where, _, cont = _tally(gram[first], np.ones(len(first)))
-            contexts, _, _, total, kinds = _tally(of_some[first][where], cont, np.ones(len(where)))
-            i, j = np.searchsorted(grams, gram), np.searchsorted(contexts, of_some)
-            shared[some] = (np.maximum(cont[i] - discount, 0) + discount * kinds[j] * lower) / total[j]
-        behind, now = now, ahead
-
-    gram, context = _mixed(now), _mixed(_before(behind))
-    del behind, now, ahead, joined, place, hashes
-
-    def smoothed(n: np.ndarray, lower: np.ndarray, strength: float) -> tuple[np.ndarray, np.ndarray]:
+    first_order = _first_order(joined, place, discount)
+
+    def smoothed(n: np.ndarray, lower: np.ndarray, strength: float, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Of counts by n-gram: the probability of each, and by context the share that goes to lower."""
-        total = np.maximum(np.bincount(of, weights=n, minlength=len(contexts)) + strength, 1e-9)
-        rest = (strength + discount * np.bincount(of, weights=n > 0, minlength=len(contexts))) / total
+        total = np.maximum(np.bincount(of, weights=n, minlength=size) + strength, 1e-9)
+        rest = (strength + discount * np.bincount(of, weights=n > 0, minlength=size)) / total
         return np.maximum(n - discount, 0) / total[of] + rest[of] * lower, rest
 
-    found = []
-    for some in _by_context(context, np.flatnonzero(at)):
-        grams, first, _, *counts = _tally(gram[some], *[n[number[some]] for n in (toxic, ordinary)])
-        contexts, of = np.unique(context[some][first], return_inverse=True)
-        both, _ = smoothed(counts[0] + counts[1], shared[some][first], 0.0)
-        (p, p_rest), (q, q_rest) = (smoothed(n, both, strength) for n in counts)
+    def tables(at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """N-grams and contexts of some places with their ratios."""
+        deep, power = place[at], np.uint64(1)
+
+        def byte(back: int, power: np.uint64) -> np.ndarray:
+            """What the byte so far back adds to a hash; 0 before the word."""
+            h = joined[np.maximum(at - back, 0)].astype(np.uint64)
+            h += np.uint64(257)
+            h *= power
+            h[deep < back] = 0
+            return h
+
+        # hashes of k bytes, of the k - 1 before the last and of k + 1, as of _hashes
+        now, behind, shared = byte(0, _BASE), np.zeros(len(at), dtype=np.uint64), first_order[joined[at]]
+        for k in range(1, order):
+            power = power * _BASE
+            ahead = now + byte(k, power * _BASE)
+            if k > 1:  # shared: continuation counts of shorter n-grams, from the distinct n-grams one byte longer
+                some = np.flatnonzero(deep >= k)  # a byte stands before the n-gram
+                gram, of_some, lower = now[some], behind[some], shared[some]
+                _, first = np.unique(ahead[some], return_index=True)
+                grams, where, _, cont = _tally(gram[first], np.ones(len(first)))
+                contexts, _, _, total, kinds = _tally(of_some[first][where], cont, np.ones(len(where)))
+                i, j = np.searchsorted(grams, gram), np.searchsorted(contexts, of_some)
+                shared[some] = (np.maximum(cont[i] - discount, 0) + discount * kinds[j] * lower) / total[j]
+            behind, now = behind + byte(k, power), ahead
+        grams, first, _, *counts = _tally(_mixed(now), *[n[number[at]] for n in (toxic, ordinary)])
+        contexts, of = np.unique(_mixed(behind)[first], return_inverse=True)
+        both, _ = smoothed(counts[0] + counts[1], shared[first], 0.0, of, len(contexts))
+        (p, p_rest), (q, q_rest) = (smoothed(n, both, strength, of, len(contexts)) for n in counts)
         logs, rests = ([np.log(np.maximum(x, 1e-300)) for x in pair] for pair in ((p, q), (p_rest, q_rest)))
-        found.append((grams, (logs[0] - logs[1]).astype(np.float32), contexts, (rests[0] - rests[1]).astype(np.float32)))
-    grams, gram_ratio, contexts, context_ratio = (np.concatenate(x) for x in zip(*found, strict=True))
-    i, j = np.argsort(grams), np.argsort(contexts)
-    return Model(order, grams[i], gram_ratio[i], contexts[j], context_ratio[j])
+        return grams, (logs[0] - logs[1]).astype(np.float32), contexts, (rests[0] - rests[1]).astype(np.float32)
+
+    # all orders of one part, then the next: those of all places would not fit
+    with np.errstate(over="ignore"):
+        found = [tables(at) for at in _by_last_byte(joined, place)]
+    ordered = []
+    for keys, values in ((0, 1), (2, 3)):
+        key = np.concatenate([x[keys] for x in found])
+        i = np.argsort(key)
+        ordered += [key[i], np.concatenate([x[values] for x in found])[i]]
+    return Model(order, *ordered)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:

@@ -3,6 +3,7 @@
 import functools
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -99,3 +100,15 @@ def test_long_runs_are_read_whole_in_pieces(spark):
     long_ = spark.createDataFrame([(1, "spite " * 200_000), (2, "漢" * 300_000)], "doc_id long, text string")
     model = toxicity.train([b"spite", b"calm"], np.array([5.0, 1.0]), np.array([1.0, 5.0]))
     assert toxicity.score(long_, model).count() == 2
+
+
+def test_training_holds_little_for_a_byte():
+    """All orders of one part of the n-grams, then the next: hashes of all places at once took over 100 bytes a place."""
+    r = random.Random(7)
+    words = sorted({bytes(r.choices(b"abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 12))) for _ in range(40_000)})
+    n = np.array([[r.randint(0, 3), r.randint(1, 9)] for _ in words], dtype=float)
+    tracemalloc.start()
+    toxicity.train(words, n[:, 0], n[:, 1])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 75 * sum(len(w) + 2 for w in words)
