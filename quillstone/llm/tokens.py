@@ -25,9 +25,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +44,15 @@ END_ID = 2
 SEQUENCE = 1024
 #: Sequences in a batch of the file.
 BATCH = 256
-#: Distinct words that a Python worker remembers at most.
+#: Distinct words that a Python worker remembers at most, beside those of the texts in hand.
 WORDS_HELD = 600_000
 MANIFEST = "first_doc long, shard int, path string, n_docs long, n_tokens long, n_sequences long"
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Letters that normalisation leaves as they are; _SPLIT takes a run of them whole.
+LETTERS = "a-zß-öø-ÿα-ωа-џ"
+_STEM = re.compile(f"^([{LETTERS}]*)(.*)$", re.MULTILINE).findall
+#: Ids one after another, and how many each word has.
+Pieces = tuple[np.ndarray, np.ndarray]
 
 
 def check_splits(tokenizer_json: str) -> bool:
@@ -62,63 +70,133 @@ def check_splits(tokenizer_json: str) -> bool:
     return bool(plain and cuts and added and not j.get("post_processor") and not j.get("truncation") and not j.get("padding"))
 
 
+def stem_encoder(whole, tokenizer_json: str):
+    """Encodes words of LETTERS with the same model, without the steps that do nothing to them, and by id whether a token ends a word; None where settings are others.
+
+    The model is shared, not copied.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    j = json.loads(tokenizer_json)
+    model, vocabulary = j["model"], whole.get_vocab(with_added_tokens=False)
+    steps = [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    suffix = model.get("end_of_word_suffix")
+    if not check_splits(tokenizer_json) or model["type"] != "BPE" or model.get("dropout") or not suffix or j["pre_tokenizer"]["pretokenizers"][1:] != steps:
+        return None
+    stems = Tokenizer(whole.model)
+    stems.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+    return stems, ends
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
-        return Tokenizer.from_file(path), check_splits(f.read())
+        settings = f.read()
+    whole = Tokenizer.from_file(path)
+    return whole, check_splits(settings), stem_encoder(whole, settings)
 
 
 class Encoder:
     """Encodes texts (UTF-8) to arrays of ids.
 
-    Distinct words are remembered in two halves: when the newer is full it becomes the older,
-    so words that come often stay and words that came once go.
+    A distinct word has a code, and codes lead to ids in one array, so the ids of many texts are taken
+    from it at once. With more than `words_held` words all are forgotten before the next texts. A new
+    word is a stem of LETTERS and a rest; stems go through the model many at a time, as its tokens tell
+    where a stem ends.
     """
 
     def __init__(self, path: str, end_id: int = END_ID, words_held: int = WORDS_HELD):
-        self.tokenizer, self.by_word = _encoder(path)
+        self.tokenizer, self.by_word, self.stems = _encoder(path)
         self.kind = id_type(self.tokenizer.get_vocab_size(), end_id)
-        self.end, self.most = np.array([end_id], self.kind).tobytes(), words_held // 2
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Brings words into the newer half."""
-        missing = words.difference(self.new)
-        if not missing:
-            return
-        if len(self.new) + len(missing) > self.most:
-            self.old, self.new = self.new, {}
-            missing = words
-        ask = []
-        for w in missing:
-            if (ids := self.old.get(w)) is None:
-                ask.append(w)
-            else:
-                self.new[w] = ids
-        # a mark after an ASCII letter is a token of its own: the stem may be known
-        two = [w for w in ask if len(w) > 1 and w[-1] in b".,;:!?" and 97 <= w[-2] <= 122 and b"'" not in w and b"<|" not in w]
-        ask = list(set(ask).difference(two) | {x for w in two for x in (w[:-1], w[-1:]) if x not in self.new})
-        for i in range(0, len(ask), 4096):
-            part = ask[i : i + 4096]
-            self.new.update(zip(part, self._fresh([w.decode() for w in part]), strict=True))
-        for w in two:
-            self.new[w] = self.new[w[:-1]] + self.new[w[-1:]]
+        self.end, self.most = np.array([end_id], self.kind), words_held
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Codes by word, in order of appearance; None is the end of a text.
+        self.codes: defaultdict[bytes | None, int] = defaultdict(count(1).__next__, {None: 0})
+        self.ids, self.starts, self.sizes = self.end, np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _fresh(self, texts: list[bytes]) -> Pieces:
+        found = [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        sizes = np.array([len(i) for i in found], dtype=np.int64)
+        return np.fromiter(chain.from_iterable(found), self.kind, sizes.sum()), sizes
+
+    def _fresh_stems(self, stems: list[bytes]) -> Pieces:
+        """The same for words of LETTERS."""
+        model, ends = self.stems
+        (e,) = model.encode_batch_fast([b" ".join(stems).decode()], add_special_tokens=False)
+        ids = np.array(e.ids, dtype=self.kind)
+        stops = np.flatnonzero(ends[ids]) + 1
+        return (ids, np.diff(stops, prepend=0)) if len(stops) == len(stems) else self._fresh(stems)
+
+    def _codes(self, words: Iterable[bytes | None], n: int) -> np.ndarray:
+        return np.fromiter(map(self.codes.__getitem__, words), np.int64, n)
+
+    def _taken(self, codes: np.ndarray) -> Pieces:
+        sizes = self.sizes[codes]
+        at = np.repeat(self.starts[codes] - (np.cumsum(sizes) - sizes), sizes)
+        at += np.arange(len(at))
+        return self.ids[at], sizes
+
+    def _put(self, words: list[bytes], pieces: list[Pieces]) -> None:
+        if words:
+            codes, sizes = self._codes(words, len(words)), np.concatenate([s for _, s in pieces])
+            self.starts[codes], self.sizes[codes] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
+            self.ids = np.concatenate([self.ids, *(i for i, _ in pieces)])
+
+    def _learn(self) -> None:
+        """Ids of the words that have a code alone."""
+        codes, known = self.codes, len(self.starts)
+        stems: list[bytes] = []
+        whole: list[bytes] = []
+        two: list[bytes] = []
+        parts: list[int] = []
+        while known < len(codes):
+            new = list(islice(reversed(codes), len(codes) - known))
+            known = len(codes)
+            if self.stems is None:
+                whole += new
+                continue
+            for w, (stem, rest) in zip(new, _STEM(b"\n".join(new).decode()), strict=True):
+                if not rest:
+                    stems.append(w)
+                elif not stem or rest[0] > "\x7f" or rest[0].isalpha() or "<|" in rest:
+                    whole.append(w)
+                else:  # an ASCII mark or digit after a letter begins a token of its own; either part may get a code here
+                    two.append(w)
+                    parts += codes[s := stem.encode()], codes[w[len(s) :]]
+        more = np.zeros(known - len(self.starts), np.int64)
+        self.starts, self.sizes = np.concatenate([self.starts, more]), np.concatenate([self.sizes, more])
+        self._put(stems, [self._fresh_stems(stems[i : i + 4096]) for i in range(0, len(stems), 4096)])
+        self._put(whole, [self._fresh(whole[i : i + 4096]) for i in range(0, len(whole), 4096)])
+        if two:
+            ids, sizes = self._taken(np.array(parts))
+            self._put(two, [(ids, sizes.reshape(-1, 2).sum(axis=1))])
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not texts:
+            return []
         if not self.by_word:
-            return [np.frombuffer(ids + self.end, self.kind) for ids in self._fresh([t.decode() for t in texts])]
+            ids, sizes = self._fresh(texts)
+            return [np.concatenate([i, self.end]) for i in np.split(ids, np.cumsum(sizes)[:-1])]
+        if len(self.codes) > self.most:
+            self._forget()
         # bytes.lower() and split() know ASCII alone; the tokenizer lower-cases as well, but reads special tokens first
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        self._learn(set().union(*split))
-        ids = self.new.__getitem__
-        return [np.frombuffer(b"".join(map(ids, words)) + self.end, self.kind) for words in split]
+        split: list[list[bytes | None]] = [[*(t if b"<|" in t else t.lower()).split(), None] for t in texts]
+        n = np.cumsum([len(words) for words in split])
+        try:
+            codes = self._codes(chain.from_iterable(split), n[-1])
+            self._learn()
+        except BaseException:
+            self._forget()  # no code is left without ids
+            raise
+        ids, sizes = self._taken(codes)
+        return np.split(ids, np.cumsum(sizes)[n[:-1] - 1])
 
 
 def encoder(path: str, end_id: int) -> Encoder:
