@@ -6,10 +6,11 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import graph, labels, ontology, preparation, simplify, stats, trajectory, trends
+from quillstone.operators import doublets, graph, labels, ontology, preparation, simplify, stats, trajectory, trends
 from quillstone.sources import discovery
 
 DATA = "/root/testdata"
@@ -193,3 +194,20 @@ def test_markers_and_modules(spark):
     edges, modules, terms = stats.gene_networks(expr, expr, 120, masses, sets, least=0.6)
     assert {(x.module, x.gene, x.mass) for x in modules.collect()} == {(10, g, 6.0) for g in range(10, 14)} and all(x.p < 1e-6 for x in edges.collect())
     assert [x.term for x in terms.collect()] == ["t"]
+
+
+def test_inverted_lists_find_what_an_exact_search_finds(spark, monkeypatch):
+    """Recall of doublets' larger search, equal rows in order of ids, and no bound on what is indexed."""
+    r = np.random.RandomState(5)
+    z = np.concatenate([r.standard_normal((9000, 8)), np.repeat(r.standard_normal((20, 8)), 150, axis=0)]).round(4)
+    rows = spark.createDataFrame([(i if i % 3 else -i - 1, x) for i, x in enumerate(z.tolist())], "id long, z array<double>").repartition(6)
+    asked = rows.where("id > 0 and id % 20 = 0")
+    pairs = lambda src, row, rank, dst, sim: pd.DataFrame({"src": src[row], "rank": rank, "dst": dst, "sim": sim})
+    found = lambda n: {(x.src, x.dst) for x in graph.indexed(asked, rows, 40, pairs, "src long, rank long, dst long, sim double", probes=n).collect()}
+    exact = {(x.src, x.dst) for x in graph.nearest(asked, rows, 40, metric="euclidean", digits=3).collect()}
+    some, whole = found(6), found(10**6)
+    assert len(some) == len(whole) == len(exact) and len(exact & some) >= 0.9 * len(exact) and len(exact & whole) >= 0.995 * len(exact)
+    sure = {x.id: x.pann for x in doublets.near_synthetic(rows, 40, 10, 30).collect()}
+    monkeypatch.setattr(doublets, "EXACT_PAIRS", 0)
+    near = {x.id: x.pann for x in doublets.near_synthetic(rows, 40, 10, 30).collect()}
+    assert near.keys() == sure.keys() and np.mean([abs(near[i] - sure[i]) for i in sure]) < 0.02
